@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, decontaminate, jaccard, langid, quality, suffixdedup, urlfilter
+from . import compression, decontaminate, jaccard, langid, linededup, mixing, quality, suffixdedup, surrogates, urlfilter
 from .common import table
 
 #: Rules of the URL query: host + path, verdict.  The first five are the contract's.
@@ -15,6 +15,13 @@ URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1
 #: Rules of the method itself, for URLs that none of the above fits.
 OWN_URL_RULES = [("*spam*/", "block"), ("*cheap-pills*/", "block"), ("*casino*/", "block")]
 
+#: Marginal targets of the mixing query and stage, as shares of tokens.
+MIX_TARGETS = {
+    "source": {"src0": 0.2},
+    "lang": {"en": 0.52, "de": 0.17, "fr": 0.17, "es": 0.14},
+    "topic": {"prose": 0.8, "contact": 0.09, "legal": 0.05, "listing": 0.03, "markup": 0.03},
+}
+
 
 def _crc(modulus: int):
     return F.crc32(F.col("doc_id").cast("string")) % modulus
@@ -46,6 +53,18 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace(docs, key=b"query key")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = linededup.remove_runs(docs)
+    n_lines = F.aggregate(F.coalesce("_runs", F.array().cast("array<struct<start:bigint,end:bigint>>")), F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
+    return cut.select("doc_id", F.coalesce(F.array_size("_runs"), F.lit(0)).cast("long").alias("n_runs"), n_lines.alias("n_lines_removed"), "text")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     field = langid.train(docs.where(_crc(5) != 0))
@@ -60,6 +79,11 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_crc(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mix(docs, MIX_TARGETS).drop("text", "lang", "source")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urlfilter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, default="")
     own = urlfilter.judge_urls(judged.where("verdict = ''").select("page_id", F.concat(F.lit("x://"), "host", "path").alias("url")), OWN_URL_RULES)

@@ -64,7 +64,7 @@ def anchor_hashes(data: np.ndarray) -> np.ndarray:
         out *= np.uint64(factor)
     out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(32))
+    return out ^ (out >> np.uint64(32)) | np.uint64(1 << 63)  # never 0
 
 
 def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
