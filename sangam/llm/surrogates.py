@@ -214,7 +214,7 @@ def replace(docs: DataFrame, key: bytes = b"change this key", max_tweaks: int =
         raise RuntimeError("surrogates collide under every tweak tried")
     docs = docs.select(*[x for x in docs.columns if x not in {f"n_{k}" for k in TYPES}])
     schema = T.StructType([*docs.schema.fields, *(T.StructField(f"n_{k}", T.LongType()) for k in TYPES)])
-    where = docs.columns.index(text)
+    where, names = docs.columns.index(text), schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         permutation = Permutation(key, tweak)
@@ -223,6 +223,6 @@ def replace(docs: DataFrame, key: bytes = b"change this key", max_tweaks: int =
             columns = list(batch.columns)
             columns[where] = pa.array([x for x, _ in done], batch.schema.field(where).type)
             counts = [pa.array([sum(e[0] == k for e in own) for _, own in done], pa.int64()) for k in TYPES]
-            yield pa.RecordBatch.from_arrays([*columns, *counts], names=[*docs.columns, *(f"n_{k}" for k in TYPES)])
+            yield pa.RecordBatch.from_arrays([*columns, *counts], names=names)
 
     return docs.mapInArrow(run, schema)
