@@ -8,7 +8,7 @@ the same script and case, each digit a digit, separators stay, as do country
 codes and top-level domains; card numbers keep their check digit's validity,
 IPv4 parts stay within 0 to 255, and known given names become given names of
 the same gender and script.  It is a keyed permutation (a Feistel network with
-HMAC-SHA256 rounds) of all values of one form, so that different values stay
+keyed SHAKE-256 rounds) of all values of one form, so that different values stay
 different and equal values, in any document and any case, stay equal.  No table
 of values is needed, and lost tasks give the same result again.
 
@@ -22,7 +22,7 @@ results; very long texts are scanned whole; other columns stay.
 from __future__ import annotations
 
 import hashlib
-import hmac
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -90,21 +90,21 @@ class Permutation:
         """A permutation of 0..size-1: Feistel over two residues, walked until inside."""
         if size <= 1:
             return 0
-        a = 1
-        while a * a < size:
-            a += 1 if a < 1000 else a // 8  # any a, b with a * b >= size will do
+        a = math.isqrt(size - 1) + 1
         b = -(-size // a)
         while True:
             left, right = divmod(x, b)
             for i in range(0, ROUNDS, 2):
-                left = (left + self._hash(f"{label}|{size}|{i}|{right}")) % a
-                right = (right + self._hash(f"{label}|{size}|{i + 1}|{left}")) % b
+                left = (left + self._hash(f"{label}|{size}|{i}|{right}", a)) % a
+                right = (right + self._hash(f"{label}|{size}|{i + 1}|{left}", b)) % b
             x = left * b + right
             if x < size:
                 return x
 
-    def _hash(self, what: str) -> int:
-        return int.from_bytes(hmac.new(self.key, f"{self.tweak}|{what}".encode(), hashlib.sha256).digest()[:16], "big")
+    def _hash(self, what: str, size: int) -> int:
+        """A keyed number below size (SHAKE-256, 128 bits wider than size)."""
+        head = len(self.key).to_bytes(4, "big") + self.key
+        return int.from_bytes(hashlib.shake_256(head + f"{self.tweak}|{what}".encode()).digest(size.bit_length() // 8 + 17), "big") % size
 
     def shape(self, value: str, label: str, alphabets: tuple[str, ...] = ALPHABETS) -> str:
         """A value of the same form: symbols stay within their alphabets, others stay."""
