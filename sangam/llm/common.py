@@ -8,6 +8,7 @@ hash of any byte range costs two lookups and one multiplication.
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ready(spark: SparkSession) -> None:
+    """checkpoint() needs a folder: the cluster's (spark.checkpoint.dir), and a
+    temporary one only where none is set."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+
+
 def spread(docs: DataFrame, column: str = "text", target_bytes: int = 8 << 20) -> int:
     """How many batches of about target_bytes the texts make (8 at least)."""
     total = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0

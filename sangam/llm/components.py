@@ -11,10 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ready
+
 
 def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges (u, v) -> (node, component): the least node reachable; nodes with
     an edge only.  Self-edges and repeated edges are allowed."""
+    ready(edges.sparkSession)
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
     before = None
     for _ in range(max_rounds):

@@ -233,6 +233,7 @@ def links_within(ids: np.ndarray, sets: list[np.ndarray], bands: Bands, part: np
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80, group_shingles: int = 4_000_000, batch_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id that links reach."""
+    c.ready(docs.sparkSession)
     bands = Bands(percent)
     shards = c.spread(docs, "text", batch_bytes)
     profiles = profile(docs, k).checkpoint()

@@ -93,6 +93,7 @@ def _with_name(rows: DataFrame, names: DataFrame, at, x: str, y: str) -> DataFra
 
 def repeated_runs(docs: DataFrame, min_words: int = 40) -> DataFrame:
     """doc_id, start, end: maximal runs of lines to delete (numbers of lines, half-open)."""
+    c.ready(docs.sparkSession)
     rows = line_table(docs, min_words)
     rows = rows.groupBy("doc_id", "i").agg(F.min(F.struct("line", "span", "length", "back_span", "back", "x", "y")).alias("r")).select("doc_id", "i", "r.*")
     rows = _repeated(rows, "x", "y").checkpoint()

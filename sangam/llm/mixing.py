@@ -31,6 +31,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import ready
+
 NONE = "(none)"
 RESULT = ("n_tokens", "cell_source", "cell_lang", "cell_topic", "probability", "draw", "sampled")
 DIMENSIONS = ("cell_source", "cell_lang", "cell_topic")
@@ -101,6 +103,7 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = 3
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]], budget: float | None = None, seed: int = 17, max_cells: int = 20_000, min_share: float = 0.001) -> DataFrame:
     """docs with n_tokens, the cell, probability, draw (a hash of doc_id in
     [0, 1)) and sampled.  targets: by dimension (source, lang, topic)."""
+    ready(docs.sparkSession)
     cells_of = with_cells(docs)
     cells = cells_of.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")).checkpoint()
     raked = rake(cells, {f"cell_{d}": t for d, t in targets.items()})

@@ -41,6 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,6 +133,14 @@ def _binary(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
+def _packed(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(_binary(x))
+
+
+def _unpacked(x: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+
+
 def _blobs(table: pa.Table, name: str, kind) -> list[np.ndarray]:
     return [np.frombuffer(x or b"", kind) for x in table.column(name).to_pylist()]
 
@@ -228,7 +237,10 @@ def suffixes_of(length: int, shards: int):
         rows = []
         for k, own in _by_shard(shard[one]):
             pick = one[own]
-            rows.append((k, batch, _binary(marks[pick]), _binary(cut[pick]), _binary(flags[pick].astype(np.uint32)), _binary(first[pick]), _binary(last[own])))
+            # texts of neighbours overlap, and pack well in order of place
+            order = np.argsort(pick)
+            pick, ends = pick[order], last[own[order]]
+            rows.append((k, batch, _binary(marks[pick]), _packed(cut[pick]), _packed(flags[pick].astype(np.uint32)), _packed(first[pick]), _packed(ends)))
         return _rows(rows, schema)
 
     return run
@@ -286,15 +298,14 @@ def scan_shard(length: int):
         return keys[own], own
 
     def run(table: pa.Table) -> pa.Table:
-        family, held = IndexFamily(), []
-        cut, flags, first = _blobs(table, "bytes", np.uint8), _blobs(table, "flags", np.uint32), _blobs(table, "first", np.int64)
-        for block, own_flags, docs in zip(cut, flags, first, strict=True):
-            keys, own = windows(block.reshape(-1, width), own_flags)
-            family.add(keys, np.repeat(docs, own.sum(axis=1)))
-            held.append(own)
-        rows = []
-        for i, (batch, marks, last) in enumerate(zip(table.column("batch").to_pylist(), _blobs(table, "marks", np.uint64), _blobs(table, "last", np.int64), strict=True)):
-            keys, own = windows(cut[i].reshape(-1, width), flags[i])
+        family, rows = IndexFamily(), []
+        packed = [table.column(x).to_pylist() for x in ("bytes", "flags", "first")]
+        for block, flags, first in zip(*packed, strict=True):
+            keys, own = windows(_unpacked(block, np.uint8).reshape(-1, width), _unpacked(flags, np.uint32))
+            family.add(keys, np.repeat(_unpacked(first, np.int64), own.sum(axis=1)))
+        for batch, marks, last, block, flags in zip(table.column("batch").to_pylist(), _blobs(table, "marks", np.uint64), table.column("last").to_pylist(), packed[0], packed[1], strict=True):
+            keys, own = windows(_unpacked(block, np.uint8).reshape(-1, width), _unpacked(flags, np.uint32))
+            last = _unpacked(last, np.int64)
             least = np.full(own.shape, c.NO_DOC)
             least[own] = family.least(keys)
             least[least >= last[:, None]] = c.NO_DOC
@@ -358,7 +369,7 @@ def cut_texts(length: int, keep_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, batch_bytes: int = 8 << 20, keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, batch_bytes: int = 6 << 20, keep_text: bool = True) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256,
     and kept (the remaining bytes; they need not be whole characters)."""
     if not ANCHOR < length <= ANCHOR + 31:
