@@ -231,7 +231,7 @@ def links_within(ids: np.ndarray, sets: list[np.ndarray], bands: Bands, part: np
     return edges, sizes
 
 
-def join(docs: DataFrame, k: int = 5, percent: int = 80, group_shingles: int = 4_000_000, batch_bytes: int = 8 << 20) -> DataFrame:
+def join(docs: DataFrame, k: int = 5, percent: int = 80, group_shingles: int = 300_000, batch_bytes: int = 24 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id that links reach."""
     c.ready(docs.sparkSession)
     bands = Bands(percent)
@@ -240,7 +240,8 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, group_shingles: int = 4
     known = profiles.where("n > 0 and doc_id is not null")
     classes = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("n"), F.count("*").alias("copies")).checkpoint()
     member = known.join(classes.select("h1", "h2", "class_id"), ["h1", "h2"]).select("doc_id", "class_id")
-    pairs = candidate_pairs(docs, k, bands, shards).checkpoint()
+    # a pair comes from every shard where it has a fingerprint: each once from here on
+    pairs = candidate_pairs(docs, k, bands, shards).distinct().checkpoint()
     moved = member.where("doc_id <> class_id")
     raised = lambda e, end: e.join(moved.withColumnRenamed("doc_id", end), end, "left").withColumn(end, F.coalesce("class_id", end)).drop("class_id")
     pairs = raised(raised(pairs, "u"), "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
