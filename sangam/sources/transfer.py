@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..operators import dml
 from .catalog import Catalog, CatalogError, Table
 
-CSV = {"header": True, "quote": '"', "escape": '"', "nullValue": "\\N", "emptyValue": "", "lineSep": "\n", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+CSV = {"header": True, "quote": '"', "escape": '"', "nullValue": "\\N", "lineSep": "\n", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 FORMATS = ("BINARY", "PARQUET", "JSON", "CSV", "SQL")
 VERSION = 1
 
