@@ -72,9 +72,9 @@ def _targets(cells: DataFrame, dimension: str, wanted: dict[str, float]) -> Data
     own = own.withColumn("share", F.col("tokens") / F.greatest(F.sum("tokens").over(total), F.lit(1e-9)))
     given = F.create_map(*[F.lit(x) for pair in wanted.items() for x in (pair[0], float(pair[1]))])
     own = own.withColumn("given", given[F.col("value")])
-    own = own.withColumn("rest", F.greatest(F.lit(0.0), 1 - F.sum("given").over(total)) / F.greatest(F.sum(F.when(F.col("given").isNull(), F.col("share"))).over(total), F.lit(1e-12)))
+    own = own.withColumn("rest", F.greatest(F.lit(0.0), 1 - F.coalesce(F.sum("given").over(total), F.lit(0.0))) / F.greatest(F.coalesce(F.sum(F.when(F.col("given").isNull(), F.col("share"))).over(total), F.lit(0.0)), F.lit(1e-12)))
     own = own.withColumn("target", F.coalesce("given", F.col("share") * F.coalesce("rest", F.lit(0.0))))
-    return own.select(F.col("value").alias(dimension), (F.col("target") / F.sum("target").over(total)).alias("target"))
+    return own.select(F.col("value").alias(dimension), F.coalesce(F.try_divide("target", F.sum("target").over(total)), "share").alias("target"))
 
 
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = 30, tolerance: float = 1e-6, checkpoint_every: int = 5) -> DataFrame:
