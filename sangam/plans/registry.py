@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import documents, joins
 from ..sources import indexes, transfer
 from ..sources.workspace import scratch
+from ..streaming import windows
 from .engine import Engine
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -264,6 +265,12 @@ def _iterator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(joins.iterate(joined)), joined.schema)
 
 
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = windows.read_parquet_stream(spark, f"{sf_dir}/events.parquet")
+    counts = windows.run_to_table(windows.window_counts(events, window="1 day"), scratch(spark, "stream"), scratch(spark, "stream-state"))
+    return counts.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 2).cast("double").alias("total"))
+
+
 FILES: dict[str, tuple[Callable, str]] = {
     "csv_roundtrip": (_round_trip("CSV"), "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders"),
     "json_roundtrip": (_round_trip("JSON"), "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders"),
@@ -274,6 +281,7 @@ FILES: dict[str, tuple[Callable, str]] = {
         _analyze,
         "SELECT 'o_orderkey' AS \"column\", COUNT(*) AS n_rows, COUNT(*) - COUNT(o_orderkey) AS n_null, CAST(MIN(o_orderkey) AS VARCHAR) AS min, CAST(MAX(o_orderkey) AS VARCHAR) AS max FROM orders UNION ALL SELECT 'o_orderstatus', COUNT(*), COUNT(*) - COUNT(o_orderstatus), MIN(o_orderstatus), MAX(o_orderstatus) FROM orders",
     ),
+    "ext_stream_windows": (_stream, "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, COUNT(*) AS n, CAST(ROUND(SUM(CAST(value AS DECIMAL(18,4))), 2) AS DOUBLE) AS total FROM events GROUP BY ALL"),
     "join_iterator": (_iterator, "SELECT r_name, n_name FROM region JOIN nation ON r_regionkey = n_regionkey"),
 }
 
