@@ -12,8 +12,8 @@ at most `block_words` item words, so that the broadcast has a fixed bound
 however large the benchmark is; more blocks mean more passes.
 
 Defined cases: null or empty texts and items have no words and never match;
-an item of 1 to n-1 words matches as a whole; repeated items each count;
-columns other than the named ones are ignored.
+an item of 1 to n-1 words matches as a whole; items are told apart by item_id,
+rows of one item_id count as one item, those without are left out; columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -111,7 +111,7 @@ def _search(names: list[str], tests: dict):
                 spans_at = np.searchsorted(cut, at)
                 for i in range(b - a):
                     found.append([{"start": int(s - at[i]), "end": int(e - at[i])} for s, e in zip(cut[spans_at[i] : spans_at[i + 1]], stop[spans_at[i] : spans_at[i + 1]], strict=True)])
-                    item_names.append(sorted(names[k] for k in item[by_doc[i] : by_doc[i + 1]]))
+                    item_names.append(sorted({names[k] for k in item[by_doc[i] : by_doc[i + 1]]}))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).cast(pa.int64()),
@@ -130,7 +130,7 @@ def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[s
     """The items in turn, together at most `block_words` words (one item at least)."""
     block: list = []
     size = 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), "text").toLocalIterator()
+    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("i"), "text").toLocalIterator()
     for row in rows:
         words = len(row.text or "") // 2 + 1
         if block and size + words > block_words:
@@ -150,7 +150,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_words
     union = parts[0]
     for part in parts[1:]:
         union = union.unionAll(part)
-    return union.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.max("longest_match").alias("longest_match"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
+    return union.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.max("longest_match").alias("longest_match"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
 
 def n_hit(spans: Column) -> Column:
