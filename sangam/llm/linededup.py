@@ -34,8 +34,7 @@ from pyspark.sql import functions as F
 from . import common as c
 
 LINES = "doc_id long, i long, line long, span long, length long, back_span long, back long, x long, y long"
-NEWLINE = np.ones(256, bool)
-NEWLINE[0x0A] = False
+SALT = 8
 
 
 def line_table(docs: DataFrame, min_words: int) -> DataFrame:
@@ -81,9 +80,16 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, LINES)
 
 
+def _salted(rows: DataFrame, few: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """rows joined with few (a row per key, most keys gone), hot keys dealt to
+    SALT tasks: few goes to each of them."""
+    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "i"), F.lit(SALT)).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
+
+
 def _repeated(rows: DataFrame, *name: str) -> DataFrame:
     again = rows.groupBy(*name).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(again, list(name), "left_semi")
+    return _salted(rows, again, list(name), "left_semi")
 
 
 def _with_name(rows: DataFrame, names: DataFrame, at, x: str, y: str) -> DataFrame:
@@ -120,7 +126,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 40) -> DataFrame:
     key = ["k1", "k2", "length"]
     first = runs.groupBy(*key).agg(F.min(F.struct("doc_id", "i")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     # equal keys of different sizes differ in length; places are compared whole
-    later = runs.join(first, key).where(F.struct("doc_id", "i") > F.col("first"))
+    later = _salted(runs, first, key, "inner").where(F.struct("doc_id", "i") > F.col("first"))
     lines = later.select("doc_id", F.explode(F.sequence("line", F.col("line") + F.col("span") - 1)).alias("line")).distinct()
     order = Window.partitionBy("doc_id").orderBy("line")
     islands = lines.withColumn("island", F.col("line") - F.row_number().over(order))
