@@ -101,13 +101,13 @@ def insert_frame(catalog: Catalog, name: str, rows: DataFrame) -> DataFrame:
         typed = typed.withColumn("_n", F.row_number().over(order)).where(F.col(table.pk).isNull() | (F.col("_n") == 1)).drop("_n")
         typed = typed.join(catalog.frame(name).select(table.pk), table.pk, "left_anti").select(*struct.names)
     check_references(catalog, table, typed)
-    before = catalog.frame(name).count()
     catalog.write(name, typed, append=True)
-    after = catalog.frame(name)
-    if table.pk and isinstance(struct[table.pk].dataType, T.LongType):
-        top = after.agg(F.max(table.pk)).first()[0]
+    new = catalog.spark.read.schema(struct).parquet(catalog.get(name).paths[-1])
+    counted = table.pk is not None and isinstance(struct[table.pk].dataType, T.LongType)
+    n, top = new.agg(F.count("*"), F.max(table.pk) if counted else F.lit(None)).first()
+    if counted:
         catalog.set(name, sequence=max(table.sequence, top or 0))
-    return catalog.spark.createDataFrame([(after.count() - before,)], "inserted long")
+    return catalog.spark.createDataFrame([(n,)], "inserted long")
 
 
 def check_references(catalog: Catalog, table: Table, rows: DataFrame) -> None:
@@ -129,7 +129,8 @@ def update(catalog: Catalog, name: str, changes: dict[str, str], where: str | No
     for key in {table.pk, *table.unique} & set(new):
         if not changed.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
             raise CatalogError(f"{name}.{key} would no longer be unique")
-    check_references(catalog, table, changed)
+    if {fk["column"] for fk in table.foreign_keys.values()} & set(new):
+        check_references(catalog, table, changed)
     n = frame.where(hit).count()
     if n:
         catalog.write(name, changed)

@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 
 class Files:
     def __init__(self, spark: SparkSession):
-        self.jvm = spark._jvm
+        self.jvm, self.gateway = spark._jvm, spark.sparkContext._gateway
         self.conf = spark._jsc.hadoopConfiguration()
 
     def _path(self, path: str):
@@ -33,13 +33,14 @@ class Files:
             stream.close()
 
     def write(self, path: str, text: str) -> None:
-        """Whole or not at all: a new file takes the old one's place."""
-        fs, new = self._fs(path), self._path(path + ".new")
-        stream = fs.create(new, True)
+        """Whole or not at all: the new file takes the old one's place in one step."""
+        target, new = self._path(path), self._path(path + ".new")
+        stream = self._fs(path).create(new, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        target = self._path(path)
-        if fs.exists(target):
-            fs.delete(target, False)
-        if not fs.rename(new, target):
-            raise OSError(f"cannot write {path}")
+        kind = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        fs = self._fs(path)
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.conf)
+        context.rename(fs.makeQualified(new), fs.makeQualified(target), how)

@@ -29,7 +29,7 @@ def create_index(catalog: Catalog, table: str, columns: list[str], name: str | N
     frame = catalog.frame(table)
     if unique and not frame.groupBy(*columns).count().where("count > 1").isEmpty():
         raise CatalogError(f"{table}: values of {', '.join(columns)} repeat")
-    if own.path:
+    if own.paths:
         catalog.write(table, frame.repartition(*columns).sortWithinPartitions(*columns) if kind.upper() == "HASH" else frame.repartitionByRange(*columns).sortWithinPartitions(*columns))
     catalog.set(table, indexes=own.indexes | {name: {"columns": columns, "unique": unique, "type": kind.upper()}})
     return name
