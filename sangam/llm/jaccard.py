@@ -3,17 +3,17 @@
 A document's set is the hashes of its distinct `k`-word shingles.  Documents
 with equal sets form a class, and only classes are compared.
 
-Candidates: two sets of sizes a and b reach the similarity t only if they
-differ in at most (1-t)/(1+t) * (a+b) shingles.  Tokens are hashed into more
-groups than that, by size band, so that some group is the same in both; each
-document sends a fingerprint of each group to its shard, which links the
-documents of one fingerprint to the least of them.  `SPARE` groups beyond the
-bound make sure that one of the equal groups is not empty (a document with more
-empty groups than that also sends one common fingerprint).  Bands i and i+1
-meet in the groups of band i.  No link is lost, and a key costs a shard one
-entry a batch at most.
-
-Verification: the candidate components are joined within.  Each set becomes
+Candidates: sets of similarity t share a part t of the larger one, so that with
+any order of all shingles the first common one stands in both sets' prefixes of
+n - ceil(t * n) + 1 shingles.  The order is rare shingles first, by a count sketch
+of fixed size (2**SKETCH_BITS counters over all documents), so that passages
+shared by many documents seldom stand in a prefix.  Each document sends its
+prefix to the shards of its shingles, once for its size band and once for the
+band below (linked sets are in one or in neighbouring bands), and a shard links
+the documents of one shingle and band to the least of them.  No link is lost,
+and a key costs a shard one entry a batch at most.
+
+Verification: the candidate components of each band are joined within.  Each set becomes
 its vector of shingle counts in `DIMENSIONS` hash groups; an R-tree over these
 points, packed by size, bounds the overlap with any subtree by the summed
 minima of the coordinates, and surviving pairs are verified on the sets
@@ -34,6 +34,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +42,10 @@ from . import common as c
 from .components import connected
 
 DIMENSIONS = 32
-SPARE = 3
+SKETCH_BITS = 23
+SLICES = 16
 LEAF = 16
+SPACE = np.uint64(0xFF)
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -64,7 +67,7 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 class Bands:
-    """Size bands and their number of groups for one threshold t = percent/100."""
+    """Size bands and prefixes for one threshold t = percent/100."""
 
     def __init__(self, percent: int):
         self.percent, self.t = percent, Fraction(percent, 100)
@@ -77,87 +80,104 @@ class Bands:
 
         return bisect.bisect_right(self.edges, n) - 1
 
-    def groups(self, band: int) -> int:
-        """Over the most shingles in which two linked sets of this band and the next differ."""
-        most = self.edges[band + 2] - 1
-        return math.floor((1 - self.t) / (1 + self.t) * 2 * most) + 1 + SPARE
-
     def reaches(self, overlap, a, b):
         """Whether sets of sizes a and b that share `overlap` shingles link."""
         return 100 * overlap >= self.percent * (a + b - overlap)
 
-    def fingerprints(self, tokens: np.ndarray) -> np.ndarray:
-        n, out = len(tokens), []
+    def prefix(self, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Keys of the rarest shingles, for the set's band and the one below."""
+        n = len(tokens)
         if not n:
             return np.zeros(0, np.uint64)
-        mixed = c.mix(tokens * np.uint64(0xD6E8FEB86659FD93))
-        own = self.of(n)
-        for band in {own, max(own - 1, 0)}:
-            groups = self.groups(band)
-            group = (mixed % np.uint64(groups)).astype(np.int64)
-            order = np.argsort(group, kind="stable")
-            group, sums = group[order], np.cumsum(mixed[order] * np.uint64(0x9FB21C651E98DF25))
-            ends = np.append(np.flatnonzero(group[1:] != group[:-1]), n - 1)
-            total = np.diff(sums[ends], prepend=np.uint64(0))
-            salt = np.uint64(band * 0x1000003 + 1)
-            out.append(c.mix(total + c.mix(group[ends].astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + salt)))
-            if groups - len(ends) > SPARE:
-                out.append(np.array([salt], np.uint64))
-        return np.concatenate(out)
+        own, length = self.of(n), n - math.ceil(self.t * n) + 1
+        rare = tokens[np.lexsort((tokens, counts[sketch_place(tokens)]))[:length]]
+        return np.concatenate([c.mix(rare + np.uint64(band * 0x1000003 + 1)) & ~SPACE | np.uint64(band & 0xFF) for band in {own, max(own - 1, 0)}])
+
+
+def sketch_place(tokens: np.ndarray) -> np.ndarray:
+    return (c.mix(tokens * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def profile(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), h1, h2 (the set's identity)."""
+    """doc_id, n (set size), h1, h2 (the set's identity); and rows with slice,
+    counts: a part of the count sketch of each task."""
+    names = ["doc_id", "n", "h1", "h2", "slice", "counts"]
+    kinds = [pa.int64()] * 5 + [pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SKETCH_BITS, np.uint16)
         for batch in batches:
-            sets = [(len(x), int(c.mix(x).sum(dtype=np.uint64)), int(c.mix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))) for x in shingle_sets(c.as_text(batch.column(1)), k)]
+            sets = []
+            for x in shingle_sets(c.as_text(batch.column(1)), k):
+                place = sketch_place(x)
+                np.add.at(counts, place[counts[place] < 60_000], np.uint16(1))
+                sets.append((len(x), int(c.mix(x).sum(dtype=np.uint64)), int(c.mix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))))
             n, h1, h2 = (np.array(x, np.uint64).view(np.int64) for x in (zip(*sets, strict=True) if sets else ((), (), ())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(h1), pa.array(h2)], names=["doc_id", "n", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(h1), pa.array(h2), pa.nulls(len(n), kinds[4]), pa.nulls(len(n), kinds[5])], names=names)
+        parts = [zstandard.ZstdCompressor(level=1).compress(np.minimum(x, 255).astype(np.uint8).tobytes()) for x in np.split(counts, SLICES)]
+        empty = [pa.nulls(SLICES, kind) for kind in kinds[:4]]
+        yield pa.RecordBatch.from_arrays([*empty, pa.array(range(SLICES), pa.int64()), pa.array(parts, pa.binary())], names=names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, slice long, counts binary")
+
+
+def count_sketch(profiles: DataFrame) -> np.ndarray:
+    """The tasks' sketches added up: 2**SKETCH_BITS bytes, whatever the input."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros((1 << SKETCH_BITS) // SLICES, np.uint32)
+        for x in table.column("counts").to_pylist():
+            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8)
+        return pa.Table.from_arrays([table.column("slice")[:1].combine_chunks(), pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())], names=["slice", "counts"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long")
+    parts = profiles.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(add, "slice long, counts binary").collect()
+    out = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint8)
+    for r in parts:
+        out[r.slice] = np.frombuffer(r.counts, np.uint8)
+    return out.ravel()
 
 
-def candidate_pairs(docs: DataFrame, k: int, bands: Bands, shards: int) -> DataFrame:
-    """(u, v), v < u: documents that share a fingerprint, as stars round the least."""
+def candidate_pairs(docs: DataFrame, k: int, bands: Bands, shards: int, counts: np.ndarray) -> DataFrame:
+    """(space, u, v), v < u: documents that share a prefix shingle in a band, as
+    stars round the least."""
+    counts = docs.sparkSession.sparkContext.broadcast(counts)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             keys, docs = [], []
             for doc, tokens in zip(ids, shingle_sets(c.as_text(batch.column(1)), k), strict=True):
-                own = bands.fingerprints(tokens)
+                own = bands.prefix(tokens, counts.value)
                 keys.append(own)
                 docs.append(np.full(len(own), doc))
             if not keys:
                 continue
-            keys, docs = np.concatenate(keys), np.concatenate(docs)
-            u, v, keys, docs = stars(keys, docs)
-            shard = (keys % np.uint64(shards)).astype(np.int64)
+            space, u, v, keys, docs = stars(np.concatenate(keys), np.concatenate(docs))
+            shard = ((keys >> np.uint64(8)) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             shard, keys, docs = shard[order], keys[order], docs[order]
             cut = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]]).astype(int) if len(shard) else np.zeros(0, int)
-            rows = [(int(shard[s]), keys[s:e].tobytes(), docs[s:e].tobytes()) for s, e in zip(cut[:-1], cut[1:], strict=True)]
-            rows.append((-1 - len(rows), u.tobytes(), v.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["shard", "keys", "docs"])
+            rows = [(int(shard[s]), keys[s:e].tobytes(), docs[s:e].tobytes(), b"") for s, e in zip(cut[:-1], cut[1:], strict=True)]
+            rows.append((-1, u.tobytes(), v.tobytes(), space.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["shard", "keys", "docs", "spaces"])
 
     def meet(table: pa.Table) -> pa.Table:
-        keys, docs = ([np.frombuffer(x, kind) for x in table.column(name).to_pylist()] for name, kind in (("keys", np.uint64), ("docs", np.int64)))
+        keys, docs, space = (np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]) for name, kind in (("keys", np.uint64), ("docs", np.int64), ("spaces", np.int64)))
         if table.column("shard")[0].as_py() < 0:
-            u, v = np.concatenate(keys).view(np.int64), np.concatenate(docs)
+            u, v = keys.view(np.int64), docs
         else:
-            u, v, _, _ = stars(np.concatenate(keys), np.concatenate(docs))
-        pairs = np.unique(np.stack([u, v], axis=1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
-        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+            space, u, v, _, _ = stars(keys, docs)
+        pairs = np.unique(np.stack([space, u, v], axis=1), axis=0) if len(u) else np.zeros((0, 3), np.int64)
+        return pa.Table.from_arrays([pa.array(pairs[:, i]) for i in range(3)], names=["space", "u", "v"])
 
-    sent = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(send, "shard long, keys binary, docs binary")
+    sent = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(send, "shard long, keys binary, docs binary, spaces binary")
     # a batch's own stars (shard < 0) need no meeting: spread them evenly
     sent = sent.withColumn("shard", F.when(F.col("shard") < 0, -1 - F.pmod(F.xxhash64("keys"), F.lit(shards))).otherwise(F.col("shard")))
-    return sent.groupBy("shard").applyInArrow(meet, "u long, v long")
+    return sent.groupBy("shard").applyInArrow(meet, "space long, u long, v long")
 
 
-def stars(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (document, least document of a key it has), and (key, least document)."""
+def stars(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (band, document, least document of a key it has), and (key, least document)."""
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
     new = np.ones(len(keys), bool)
@@ -165,8 +185,9 @@ def stars(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     head = np.flatnonzero(new)
     least = docs[head][np.cumsum(new) - 1] if len(keys) else docs
     other = docs != least
-    pairs = np.unique(np.stack([docs[other], least[other]], axis=1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    return pairs[:, 0].copy(), pairs[:, 1].copy(), keys[head], docs[head]
+    found = np.stack([(keys[other] & SPACE).astype(np.int64), docs[other], least[other]], axis=1)
+    found = np.unique(found, axis=0) if len(found) else found
+    return found[:, 0].copy(), found[:, 1].copy(), found[:, 2].copy(), keys[head], docs[head]
 
 
 class CountTree:
@@ -231,27 +252,32 @@ def links_within(ids: np.ndarray, sets: list[np.ndarray], bands: Bands, part: np
     return edges, sizes
 
 
-def join(docs: DataFrame, k: int = 5, percent: int = 80, group_shingles: int = 300_000, batch_bytes: int = 24 << 20) -> DataFrame:
+def join(docs: DataFrame, k: int = 5, percent: int = 80, group_shingles: int = 1_000_000, batch_bytes: int = 24 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id that links reach."""
     c.ready(docs.sparkSession)
     bands = Bands(percent)
     shards = c.spread(docs, "text", batch_bytes)
-    profiles = profile(docs, k).checkpoint()
+    gathered = profile(docs, k).checkpoint()
+    counts = count_sketch(gathered)
+    profiles = gathered.where("slice is null").select("doc_id", "n", "h1", "h2")
     known = profiles.where("n > 0 and doc_id is not null")
     classes = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("n"), F.count("*").alias("copies")).checkpoint()
     member = known.join(classes.select("h1", "h2", "class_id"), ["h1", "h2"]).select("doc_id", "class_id")
     # a pair comes from every shard where it has a fingerprint: each once from here on
-    pairs = candidate_pairs(docs, k, bands, shards).distinct().checkpoint()
+    pairs = candidate_pairs(docs, k, bands, shards, counts).distinct().checkpoint()
     moved = member.where("doc_id <> class_id")
     raised = lambda e, end: e.join(moved.withColumnRenamed("doc_id", end), end, "left").withColumn(end, F.coalesce("class_id", end)).drop("class_id")
-    pairs = raised(raised(pairs, "u"), "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    possible = connected(pairs).checkpoint()  # node, component
-    load = possible.join(classes.select(F.col("class_id").alias("node"), "n"), "node").groupBy("component").agg(F.sum("n").alias("load"))
-    dealt = possible.join(load, "component").withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.col("load") * 2 / group_shingles)).cast("int"))
+    pairs = raised(raised(pairs, "u"), "v").where("u <> v").distinct()
+    # components of each band by itself: a set is in two bands at most, and sets
+    # too unlike in size for a link don't gather in one component
+    possible = connected(pairs.select(F.struct("space", "u").alias("u"), F.struct("space", F.col("v").alias("u")).alias("v")))
+    possible = possible.select(F.col("node.u").alias("node"), F.col("component.space").alias("space"), F.col("component.u").alias("component")).checkpoint()
+    load = possible.join(classes.select(F.col("class_id").alias("node"), "n"), "node").groupBy("space", "component").agg(F.sum("n").alias("load"))
+    dealt = possible.join(load, ["space", "component"]).withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.col("load") * 2 / group_shingles)).cast("int"))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     # a chunk meets itself once and every other chunk once
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("node", "component", "chunk", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"))
+    dealt = dealt.select("node", "space", "component", "chunk", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(dealt, "node")
 
     def verify(table: pa.Table) -> pa.Table:
@@ -262,7 +288,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, group_shingles: int = 3
         edges, _ = links_within(ids, sets, bands, part)
         return pa.Table.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
-    links = texts.groupBy("component", "a", "b").applyInArrow(verify, "u long, v long")
+    links = texts.groupBy("space", "component", "a", "b").applyInArrow(verify, "u long, v long")
     groups = connected(links.checkpoint()).select(F.col("node").alias("class_id"), F.col("component").alias("linked"))
     found = member.join(groups, "class_id", "left").select("doc_id", F.coalesce("linked", "class_id").alias("component_id")).dropDuplicates(["doc_id"])
     return profiles.join(found, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
