@@ -217,7 +217,7 @@ def identify(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
         for batch in batches:
             texts = c.as_text(batch.column(1))
             pred, score, words, foreign = (np.full(len(texts), x, kind) for x, kind in ((len(names) - 1, int), (0.0, float), (0, int), (0, int)))
-            for a, b, data, starts, ends in c.chunks(texts, 8 << 20):
+            for a, b, data, starts, ends in c.chunks(texts, 3 << 20):
                 if not field.languages:
                     break
                 first, _, _, gamma, at = _score(field, data, starts)
