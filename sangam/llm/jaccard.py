@@ -252,7 +252,7 @@ def links_within(ids: np.ndarray, sets: list[np.ndarray], bands: Bands, part: np
     return edges, sizes
 
 
-def join(docs: DataFrame, k: int = 5, percent: int = 80, group_shingles: int = 1_000_000, batch_bytes: int = 24 << 20) -> DataFrame:
+def join(docs: DataFrame, k: int = 5, percent: int = 80, group_shingles: int = 1_000_000, batch_bytes: int = 48 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id that links reach."""
     c.ready(docs.sparkSession)
     bands = Bands(percent)
@@ -272,7 +272,10 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, group_shingles: int = 1
     # too unlike in size for a link don't gather in one component
     possible = connected(pairs.select(F.struct("space", "u").alias("u"), F.struct("space", F.col("v").alias("u")).alias("v")))
     possible = possible.select(F.col("node.u").alias("node"), F.col("component.space").alias("space"), F.col("component.u").alias("component")).checkpoint()
-    load = possible.join(classes.select(F.col("class_id").alias("node"), "n"), "node").groupBy("space", "component").agg(F.sum("n").alias("load"))
+    load = possible.join(classes.select(F.col("class_id").alias("node"), "n"), "node").groupBy("space", "component").agg(F.sum("n").alias("load"), F.min("n").alias("least"))
+    # without a set of the lower band, the component is compared in its own band
+    upper = F.element_at(F.array(*[F.lit(x) for x in bands.edges[:258]]), F.col("space").cast("int") + 2)
+    load = load.where(F.col("least") < upper).drop("least")
     dealt = possible.join(load, ["space", "component"]).withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.col("load") * 2 / group_shingles)).cast("int"))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     # a chunk meets itself once and every other chunk once
