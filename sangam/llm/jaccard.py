@@ -252,7 +252,7 @@ def links_within(ids: np.ndarray, sets: list[np.ndarray], bands: Bands, part: np
     return edges, sizes
 
 
-def join(docs: DataFrame, k: int = 5, percent: int = 80, group_shingles: int = 1_000_000, batch_bytes: int = 48 << 20) -> DataFrame:
+def join(docs: DataFrame, k: int = 5, percent: int = 80, group_shingles: int = 4_000_000, batch_bytes: int = 48 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id that links reach."""
     c.ready(docs.sparkSession)
     bands = Bands(percent)
