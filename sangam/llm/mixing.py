@@ -3,11 +3,15 @@
 In DataFrame functions only.  Documents are counted in cells (source, language,
 topic) by their tokens; the cells' weights are raked in turn to the marginal
 targets of each dimension until the largest change is below a tolerance.  A
-document's sampling probability is its cell's factor, scaled so that the
-largest is 1 among the cells with at least `min_share` of the tokens (or so
-that `budget` tokens are expected) and cut at 1.  A document is sampled when a
-hash of its doc_id falls below that probability: the same rows on every run,
-whatever is lost and run again.
+document's sampling probability is its cell's factor, scaled.  The scale fixes
+how many tokens are expected: `budget`, or as many as make the probability 1 in
+the largest among the cells with at least `min_share` of the tokens (among all
+cells where none has).  Cells that would need more than 1 then get 1, and what
+they lack is raked over the others until the margins hold (`fill`).  Where they
+cannot be held for that many tokens, the scale is that of the largest factor of
+all cells: fewer tokens, the same margins.  A document is sampled when a hash of
+its doc_id falls below its probability: the same rows on every run, whatever is
+lost and run again.
 
 Cells are few (`max_cells` is checked) and come from one aggregation that
 combines before its shuffle, so hot sources do no harm; documents then meet
@@ -77,14 +81,19 @@ def _targets(cells: DataFrame, dimension: str, wanted: dict[str, float]) -> Data
     return own.select(F.col("value").alias(dimension), F.coalesce(F.try_divide("target", F.sum("target").over(total)), "share").alias("target"))
 
 
+def _with_targets(cells: DataFrame, targets: dict[str, dict[str, float]]) -> tuple[DataFrame, list[str]]:
+    """cells with `_<dimension>`, the target of its value; the raked dimensions."""
+    wanted = {d: _targets(cells, d, t) for d, t in targets.items() if t}
+    for d, shares in wanted.items():
+        cells = cells.join(shares.withColumnRenamed("target", f"_{d}"), d, "left")
+    return cells, list(wanted)
+
+
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = 30, tolerance: float = 1e-6, checkpoint_every: int = 5) -> DataFrame:
     """cells (dimensions, tokens) with `factor`: raked over observed weight.
     Windows stand over the cell table only."""
-    wanted = {d: _targets(cells, d, t) for d, t in targets.items() if t}
-    now = cells.withColumn("w", F.col("tokens").cast("double"))
-    for d, shares in wanted.items():
-        now = now.join(shares.withColumnRenamed("target", f"_{d}"), d, "left")
-    now = now.checkpoint()
+    now, wanted = _with_targets(cells, targets)
+    now = now.withColumn("w", F.col("tokens").cast("double")).checkpoint()
     for i in range(rounds if wanted else 0):
         before = now.select("*", F.col("w").alias("_before")) if (i + 1) % checkpoint_every == 0 else now
         now = before
@@ -100,20 +109,51 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = 3
     return now.select(*DIMENSIONS, "tokens", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0).alias("factor"))
 
 
+def fill(raked: DataFrame, targets: dict[str, dict[str, float]], scale: float, expected: float, rounds: int = 40, tolerance: float = 1e-5, checkpoint_every: int = 5) -> DataFrame | None:
+    """raked cells with `probability`, 1 at most: `expected` tokens at the
+    targets' margins, as near as `rake` came to them without the limit, or None
+    if they are not held after all rounds."""
+    now, wanted = _with_targets(raked, targets)
+    now = now.withColumn("w", F.col("tokens") * F.col("factor") * scale).checkpoint()
+
+    def off(weight: Column) -> float:
+        parts = [F.abs(F.sum(weight).over(Window.partitionBy(d)) / expected - F.col(f"_{d}")) for d in wanted]
+        return now.select(F.greatest(F.lit(0.0), *parts).alias("off")).agg(F.max("off")).first()[0]
+
+    taken = F.least(F.col("tokens").cast("double"), F.col("w"))
+    near = off(F.col("w")) + tolerance
+    for i in range(rounds):
+        for d in wanted:
+            margin = F.sum(taken).over(Window.partitionBy(d))
+            now = now.withColumn("w", F.when(margin > 0, F.col("w") * F.col(f"_{d}") * expected / margin).otherwise(0.0))
+        if (i + 1) % checkpoint_every == 0:
+            now = now.checkpoint()
+            if off(taken) <= near:
+                return now.select(*DIMENSIONS, F.when(F.col("tokens") > 0, taken / F.col("tokens")).otherwise(min(1.0, scale)).alias("probability"))
+    return None
+
+
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]], budget: float | None = None, seed: int = 17, max_cells: int = 20_000, min_share: float = 0.001) -> DataFrame:
     """docs with n_tokens, the cell, probability, draw (a hash of doc_id in
     [0, 1)) and sampled.  targets: by dimension (source, lang, topic)."""
     ready(docs.sparkSession)
     cells_of = with_cells(docs)
     cells = cells_of.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")).checkpoint()
-    raked = rake(cells, {f"cell_{d}": t for d, t in targets.items()})
-    total = Window.partitionBy()
-    large = F.when(F.col("tokens") >= min_share * F.sum("tokens").over(total), F.col("factor"))
-    raked = raked.withColumn("_large", large)
-    scale = F.lit(1.0) / F.greatest(F.max("_large").over(total), F.lit(1e-12))
-    if budget is not None:
-        scale = F.lit(float(budget)) / F.greatest(F.sum(F.col("factor") * F.col("tokens")).over(total), F.lit(1e-12))
-    rates = raked.select(*DIMENSIONS, F.least(F.lit(1.0), F.col("factor") * scale).alias("probability")).checkpoint()
+    targets = {f"cell_{d}": t for d, t in targets.items()}
+    raked = rake(cells, targets)
+    held = F.when(F.col("tokens") > 0, F.col("factor"))
+    large = F.when(F.col("tokens") >= min_share * F.sum("tokens").over(Window.partitionBy()), held)
+    sums = raked.select((F.col("factor") * F.col("tokens")).alias("weight"), held.alias("held"), large.alias("large"))
+    weight, most, most_large = sums.agg(F.sum("weight"), F.max("held"), F.max("large")).first()
+    whole = 1.0 / max(most or 0.0, 1e-12)
+    scale = 1.0 / max(most_large or most or 0.0, 1e-12) if budget is None else budget / max(weight or 0.0, 1e-12)
+    rates = None
+    if most and scale > whole * (1 + 1e-9) and any(targets.values()):
+        rates = fill(raked, targets, scale, scale * weight)
+        scale = whole
+    if rates is None:
+        rates = raked.select(*DIMENSIONS, F.least(F.lit(1.0), F.col("factor") * scale).alias("probability"))
+    rates = rates.checkpoint()
     rates = F.broadcast(rates) if rates.count() <= max_cells else rates
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     return cells_of.join(rates, list(DIMENSIONS)).select(*[x for x in cells_of.columns], "probability", draw.alias("draw"), (draw < F.col("probability")).alias("sampled"))

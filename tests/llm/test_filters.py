@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sangam.llm import compression, decontaminate, langid, mixing, quality, surrogates, urlfilter
+from sangam.llm.queries import MIX_TARGETS
 
 from .helpers import LOWER, VISIBLE, awkward, prose, table
 
@@ -221,3 +222,42 @@ def test_raking_reaches_the_margins(spark):
     assert mixing.mix(docs.limit(0), targets).collect() == []
     budget = mixing.mix(docs, {}, budget=3000.0).agg(F.sum(F.col("n_tokens") * F.col("probability"))).first()[0]
     assert budget == pytest.approx(3000, rel=0.01)
+
+
+@pytest.mark.parametrize("hot", [240, 0])
+def test_margins_hold_with_small_cells(spark, hot):
+    """Production targets and defaults; few cells (of a hot source) or none have 0.1% of the tokens."""
+    kinds = {"contact": " mail a@b now", "legal": " the license is", "listing": " a | b", "markup": " with <p> in", "prose": " of no kind"}
+    docs = [("src0", x, "prose") for x in ("en", "de", "fr", "es") for _ in range(hot)]
+    docs += [(f"src{i}", x, k) for i in range(100) for j, x in enumerate(("en", "de", "fr", "es")) for k in kinds if k != "contact" or (i + j) % 4 == 0]
+    rows = mixing.mix(table(spark, ["text" + kinds[k] for _, _, k in docs], [x for _, x, _ in docs], [s for s, _, _ in docs]), MIX_TARGETS).collect()
+    assert {r.cell_topic for r in rows} == set(kinds) and len(rows) == len(docs)
+    weight = Counter()
+    for r in rows:
+        for d in mixing.DIMENSIONS:
+            weight[d, r[d]] += r.n_tokens * r.probability
+    total = sum(v for (d, _), v in weight.items() if d == "cell_lang")
+    for d, wanted in MIX_TARGETS.items():
+        for v, want in wanted.items():
+            assert weight[f"cell_{d}", v] / total == pytest.approx(want, abs=0.001), v
+    assert total > 0 and len({r.probability for r in rows}) > 1 and all(0 <= r.probability <= 1 for r in rows)
+
+
+def test_budget_is_met_at_the_margins(spark):
+    """A small cell that would need more than 1 is made up for by others."""
+    sources = ["a"] * 80 + ["b"] * 20
+    langs = ["en"] * 78 + ["de"] * 2 + ["en"] * 10 + ["de"] * 10
+    docs = table(spark, ["one two three four"] * 100, langs, sources)
+    targets = {"source": {"a": 0.6, "b": 0.4}, "lang": {"en": 0.6, "de": 0.4}}
+    weight = Counter()
+    for r in mixing.mix(docs, targets, budget=100.0).collect():
+        weight["all"] += r.n_tokens * r.probability
+        weight[r.cell_source] += r.n_tokens * r.probability
+        weight[r.cell_lang] += r.n_tokens * r.probability
+    assert weight["all"] == pytest.approx(100, abs=0.1)
+    assert (weight["a"], weight["de"]) == (pytest.approx(60, abs=0.1), pytest.approx(40, abs=0.1))
+    unmet = Counter()
+    for r in mixing.mix(docs, targets, budget=300.0).collect():
+        unmet["all"] += r.n_tokens * r.probability
+        unmet[r.cell_lang] += r.n_tokens * r.probability
+    assert unmet["all"] < 300 and unmet["de"] / unmet["all"] == pytest.approx(0.4, abs=0.001)
