@@ -13,7 +13,8 @@ however large the benchmark is; more blocks mean more passes.
 
 Defined cases: null or empty texts and items have no words and never match;
 an item of 1 to n-1 words matches as a whole; items are told apart by item_id,
-rows of one item_id count as one item, those without are left out; columns other than the named ones are ignored.
+rows of one item_id count as one item, and so do those without, whose hits count
+and whose id is a null at the end of `items`; columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def _fingerprints(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nd
         yield a, b, c.range_hash(c.prefix_hash(low), first, last), np.searchsorted(first, np.append(starts, len(data)))
 
 
-def test_suffixes(items: list[tuple[str, str | None]], n: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def test_suffixes(items: list[tuple[str | None, str | None]], n: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """By window length: sorted fingerprints, their items, their places in the item."""
     found: dict[int, list[tuple[np.ndarray, int]]] = {}
     texts = c.as_text(pa.array([t for _, t in items], pa.large_string()))
@@ -94,7 +95,7 @@ def search_shard(words: np.ndarray, at: np.ndarray, tests: dict) -> tuple[np.nda
     return hit, pair // (item.max() + 1), pair % (item.max() + 1), longest, doc_of
 
 
-def _search(names: list[str], tests: dict):
+def _search(names: list[str | None], tests: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = c.as_text(batch.column(1))
@@ -106,12 +107,13 @@ def _search(names: list[str], tests: dict):
                 by_doc = np.searchsorted(doc, np.arange(b - a + 1))
                 first, last = c.spans(hit)
                 # a run of hit words never crosses a text: cut it at the texts' starts
-                cut = np.unique(np.concatenate([first, at[1:-1][hit[np.minimum(at[1:-1], max(len(hit) - 1, 0))]] if len(hit) else first]))
+                starts = at[1:-1][at[1:-1] < len(hit)]  # empty texts at the end start behind the last word
+                cut = np.unique(np.concatenate([first, starts[hit[starts]]]))
                 stop = np.minimum(last[np.searchsorted(last, cut, "right")] if len(cut) else cut, at[np.searchsorted(at, cut, "right")] if len(cut) else cut)
                 spans_at = np.searchsorted(cut, at)
                 for i in range(b - a):
                     found.append([{"start": int(s - at[i]), "end": int(e - at[i])} for s, e in zip(cut[spans_at[i] : spans_at[i + 1]], stop[spans_at[i] : spans_at[i + 1]], strict=True)])
-                    item_names.append(sorted({names[k] for k in item[by_doc[i] : by_doc[i + 1]]}))
+                    item_names.append(sorted({names[k] for k in item[by_doc[i] : by_doc[i + 1]]}, key=lambda x: (x is None, x or "")))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).cast(pa.int64()),
@@ -126,11 +128,11 @@ def _search(names: list[str], tests: dict):
     return run
 
 
-def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, str | None]]]:
+def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str | None, str | None]]]:
     """The items in turn, together at most `block_words` words (one item at least)."""
     block: list = []
     size = 0
-    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("i"), "text").toLocalIterator()
+    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), "text").toLocalIterator()
     for row in rows:
         words = len(row.text or "") // 2 + 1
         if block and size + words > block_words:
@@ -143,7 +145,7 @@ def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[s
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_words: int = 4_000_000) -> DataFrame:
     """One row per document: doc_id, n_words, longest_match (words), spans of
-    hit words (half-open, by word), items (ids as strings, sorted)."""
+    hit words (half-open, by word), items (ids as strings, sorted; null for the rows without an id)."""
     parts = [docs.select("doc_id", "text").mapInArrow(_search([i for i, _ in block], test_suffixes(block, n)), HITS) for block in item_blocks(benchmark, block_words)]
     if len(parts) == 1:
         return parts[0]
@@ -162,8 +164,8 @@ def n_hit(spans: Column) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_hit_share: float = 0.0) -> DataFrame:
     """The documents of which no more than the given share of words is hit;
-    columns as they came."""
-    hits = find_matches(docs, benchmark, n)
+    columns as they came.  Only items with an item_id count here."""
+    hits = find_matches(docs, benchmark.where("item_id is not null"), n)
     bad = hits.where(n_hit(F.col("spans")) > F.col("n_words") * max_hit_share).select("doc_id")
     return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
 

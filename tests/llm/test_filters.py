@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sangam.llm import compression, decontaminate, langid, mixing, quality, surrogates, urlfilter
-from sangam.llm.queries import MIX_TARGETS
+from sangam.llm.queries import MIX_TARGETS, op4_decontaminate
 
 from .helpers import LOWER, VISIBLE, awkward, prose, table
 
@@ -79,6 +79,20 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.decontaminate(table(spark, texts), bench.limit(0)).count() == len(texts)
 
 
+def test_items_without_id_count(spark, tmp_path):
+    """As in the query's oracle: hits count, together they are one item, no id in the digest."""
+    a, b = prose(11, 40), prose(12, 15)
+    table(spark, [a + " tail", b, a + " " + b, prose(13, 30)]).write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(None, a), (None, b), (7, b), (10, b)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    sha = [decontaminate.digest(x) for x in ([], ["7", "10"], ["7", "10"], [])]
+    got = sorted(op4_decontaminate(spark, str(tmp_path)).collect())
+    assert [tuple(r) for r in got] == [(0, 41, 40, 1, sha[0], True), (1, 15, 15, 3, sha[1], True), (2, 55, 55, 3, sha[2], True), (3, 30, 0, 0, sha[3], False)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.find_matches(table(spark, [b]), bench, block_words=1).first()
+    assert found["items"] == ["10", "7", None]
+
+
 URLS = [None, "", "no scheme", "http://", "http://Example.ORG/es/a", "https://www.example.org/es", "x://example.org/en/12?q#f", "ftp://badexample.org/es/", "http://a.com/fr/x", "http://com/de/", "http://evil.net/x.com/de/", "http://a.com?/de/", "http://a.com#/fr/", "http://u@b.com:80/de/", "a://b://c.com/de/", "http://org", "http://a.org/ü", "//x.org/", "http://spam.example.net/a", "http://" + "y" * 5000 + ".org/" + "z" * 5000, "http://a\n.org/es/"]
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"), ("*spam*/", "block"), ("net/*.html", "block")]
 
