@@ -9,7 +9,8 @@ The order among suffixes is the order of a 64-bit fingerprint of their first
 `n` words (equal prefixes stand together, which is all the search needs).
 Nothing is shuffled: the searched suffixes travel to the shards, in blocks of
 at most `block_words` item words, so that the broadcast has a fixed bound
-however large the benchmark is; more blocks mean more passes.
+however large the benchmark is; more blocks mean more passes over a checkpoint
+of the texts, whose hits are put together by row.
 
 Defined cases: null or empty texts and items have no words and never match;
 an item of 1 to n-1 words matches as a whole; items are told apart by item_id,
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -144,15 +146,21 @@ def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[s
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_words: int = 4_000_000) -> DataFrame:
-    """One row per document: doc_id, n_words, longest_match (words), spans of
+    """One row per row of docs: doc_id, n_words, longest_match (words), spans of
     hit words (half-open, by word), items (ids as strings, sorted; null for the rows without an id)."""
-    parts = [docs.select("doc_id", "text").mapInArrow(_search([i for i, _ in block], test_suffixes(block, n)), HITS) for block in item_blocks(benchmark, block_words)]
-    if len(parts) == 1:
-        return parts[0]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionAll(part)
-    return union.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.max("longest_match").alias("longest_match"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    blocks = item_blocks(benchmark, block_words)
+    head = list(islice(blocks, 2))
+    if len(head) == 1:
+        return docs.select("doc_id", "text").mapInArrow(_search([i for i, _ in head[0]], test_suffixes(head[0], n)), HITS)
+    c.ready(docs.sparkSession)
+    # rows are told apart by a key, which must be the same in every pass: hence the checkpoint
+    keyed = docs.select(F.monotonically_increasing_id().alias("doc_id"), "text", F.col("doc_id").cast("long").alias("_own")).checkpoint()
+    union = keyed.select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("longest_match"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"), "_own")
+    for block in chain(head, blocks):
+        part = keyed.select("doc_id", "text").mapInArrow(_search([i for i, _ in block], test_suffixes(block, n)), HITS)
+        union = union.unionAll(part.withColumn("_own", F.lit(None).cast("long")))
+    merged = union.groupBy("doc_id").agg(F.max("_own").alias("_own"), F.max("n_words").alias("n_words"), F.max("longest_match").alias("longest_match"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return merged.select(F.col("_own").alias("doc_id"), "n_words", "longest_match", "spans", "items")
 
 
 def n_hit(spans: Column) -> Column:

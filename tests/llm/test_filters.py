@@ -93,6 +93,19 @@ def test_items_without_id_count(spark, tmp_path):
     assert found["items"] == ["10", "7", None]
 
 
+def test_blocks_keep_the_rows_apart(spark):
+    """Rows that share a doc_id, or have none, come back each with its own hits."""
+    a, b = prose(11, 40), prose(12, 15)
+    docs = table(spark, [a, b + " x y", prose(13, 30), a, b, None]).withColumn("doc_id", F.when(F.col("doc_id") < 3, 1))
+    bench = spark.createDataFrame([(1, a), (2, b)], "item_id long, text string")
+    found = {}
+    for block in (4_000_000, 1):
+        hits = decontaminate.find_matches(docs, bench, block_words=block).withColumn("n", decontaminate.n_hit(F.col("spans")))
+        found[block] = sorted((str(r.doc_id), r.n_words, r.n, r.longest_match, r["items"]) for r in hits.collect())
+    assert found[1] == found[4_000_000] and len(found[1]) == 6
+    assert found[1][0] == ("1", 17, 15, 15, ["2"])
+
+
 URLS = [None, "", "no scheme", "http://", "http://Example.ORG/es/a", "https://www.example.org/es", "x://example.org/en/12?q#f", "ftp://badexample.org/es/", "http://a.com/fr/x", "http://com/de/", "http://evil.net/x.com/de/", "http://a.com?/de/", "http://a.com#/fr/", "http://u@b.com:80/de/", "a://b://c.com/de/", "http://org", "http://a.org/ü", "//x.org/", "http://spam.example.net/a", "http://" + "y" * 5000 + ".org/" + "z" * 5000, "http://a\n.org/es/"]
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"), ("*spam*/", "block"), ("net/*.html", "block")]
 
