@@ -1,15 +1,19 @@
 """Shared pieces: Arrow text buffers, byte tokenisers and vectorised hashing.
 
-All hashing is 64-bit arithmetic modulo 2**64 on numpy arrays.  A polynomial
-hash with a random byte table and an odd base is kept as prefix sums, so the
-hash of any byte range costs two lookups and one multiplication.
+Words are hashed by a polynomial modulo the prime 2**61 - 1 with a random base,
+kept as prefix sums, so the hash of any byte range costs two lookups and two
+multiplications.  Structured texts (a Thue-Morse word and its complement, say)
+collide under a polynomial modulo 2**64 whatever its base; under a prime modulus
+two different ranges of n bytes meet with a chance of n / 2**61.
 """
 
 from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +25,15 @@ SEPARATOR = 0x20
 CHUNK_BYTES = 1 << 21
 NO_DOC = np.int64(np.iinfo(np.int64).max)
 
-_rng = np.random.default_rng(20240229)
-_TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+PRIME = np.uint64((1 << 61) - 1)
+#: A random base below the prime, the same in every process.
+_BASE = 0x0B5AD4ECEDA1CE2A
+_INVERSE = pow(_BASE, -1, int(PRIME))
+_STEP = 0x9E3779B97F4A7C15
+#: Byte ranges up to this long have exact sums in 64 bits.
+_EXACT = 1 << 22
+_LOW32 = np.uint64(0xFFFFFFFF)
+_powers = {"low": np.ones(1, np.uint64), "high": np.zeros(1, np.uint64)}
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -42,11 +50,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> None:
-    """checkpoint() needs a folder: the cluster's (spark.checkpoint.dir), and a
-    temporary one only where none is set."""
+    """checkpoint() needs a folder that all executors share: the cluster's
+    (spark.checkpoint.dir).  A temporary one is taken only by a local session
+    that names none."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a shared folder")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints"))
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the folder of the checkpoints, and read again."""
+    ready(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(docs: DataFrame, column: str = "text", target_bytes: int = 8 << 20) -> int:
@@ -65,25 +85,72 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int, which: str = "up") -> np.ndarray:
-    have = _powers[which]
-    if len(have) < n:
-        step = np.full(max(n, 2 * len(have)), _BASE if which == "up" else _INVERSE, np.uint64)
-        step[0] = 1
-        have = _powers[which] = np.multiply.accumulate(step)
-    return have[:n]
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**61 - 1."""
+    x = (x & PRIME) + (x >> np.uint64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of the polynomial hash; entry i covers data[:i]."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * powers(len(data)), out=out[1:])
-    return out
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1, for numbers below it."""
+    ah, al, bh, bl = a >> np.uint64(32), a & _LOW32, b >> np.uint64(32), b & _LOW32
+    middle, low = ah * bl + al * bh, al * bl
+    total = (ah * bh << np.uint64(3)) + (middle >> np.uint64(29)) + ((middle & np.uint64((1 << 29) - 1)) << np.uint64(32))
+    return reduced(total + (low & PRIME) + (low >> np.uint64(61)))
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The low 32 and the high 29 bits of the base's powers 0..n-1."""
+    have = len(_powers["low"])
+    if have < n:
+        whole = _powers["low"] | _powers["high"] << np.uint64(32)
+        while len(whole) < n:
+            whole = np.concatenate([whole, times(whole, np.full(1, pow(_BASE, len(whole), int(PRIME)), np.uint64))])
+        _powers["low"], _powers["high"] = whole & _LOW32, whole >> np.uint64(32)
+    return _powers["low"][:n], _powers["high"][:n]
+
 
+def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of the polynomial's low and high parts; entry i covers data[:i]."""
+    out = np.empty((2, len(data) + 1), np.uint64)
+    value = data.astype(np.uint16) + np.uint16(1)
+    for row, power in zip(out, powers(len(data)), strict=True):
+        row[0] = 0
+        np.multiply(power, value, out=row[1:])
+        np.cumsum(row, out=row)
+    return out[0], out[1]
 
-def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+
+@lru_cache(4)
+def _inverses(step: int, n: int) -> np.ndarray:
+    factor, out = pow(_INVERSE, step, int(PRIME)), [1]
+    for _ in range(n - 1):
+        out.append(out[-1] * factor % int(PRIME))
+    return np.array(out, np.uint64)
+
+
+def range_hash(prefix: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray, block: int = 1 << 13) -> np.ndarray:
     """Hash of each byte range, independent of where it stands."""
-    return mix((prefix[end] - prefix[start]) * powers(len(prefix), "down")[start] + (end - start).astype(np.uint64))
+    out = np.empty(len(start), np.uint64)
+    if len(start):
+        blocks = _inverses(1, 4096), _inverses(4096, (int(start.max()) >> 22) + 1 << 10)
+        for i in range(0, len(start), block):  # pieces that stay in the cache
+            out[i : i + block] = _range_hash(prefix, start[i : i + block], end[i : i + block], *blocks)
+    return out
+
+
+def _range_hash(prefix: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    total, at = np.zeros(len(start), np.uint64), start
+    while True:  # one round unless a range is longer than the sums are exact
+        stop = np.minimum(end, at + _EXACT)
+        low, high = (reduced(p[stop] - p[at]) for p in prefix)
+        # 2**32 times high is a rotation of its 61 bits
+        total = reduced(total + low + reduced((high << np.uint64(32) & PRIME) | high >> np.uint64(29)))
+        if (stop == end).all():
+            break
+        at = stop
+    shift = times(near[start & 4095], far[start >> 12])
+    return mix(times(total, shift) + (end - start).astype(np.uint64) * np.uint64(_STEP))
 
 
 def as_text(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -129,7 +196,8 @@ def sequences_hash(values: np.ndarray, length: int) -> np.ndarray:
     n = len(values) - length + 1
     out = np.zeros(n, np.uint64)
     for i in range(length):
-        out *= np.uint64(_BASE)
+        out ^= out >> np.uint64(32)
+        out *= np.uint64(_STEP)
         out += values[i : i + n]
     return mix(out)
 

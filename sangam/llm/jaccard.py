@@ -23,7 +23,9 @@ are joined as tasks of their own.
 
 Defined cases: null or empty texts, or texts without words, have the empty set
 and link with nothing; with fewer than k words the whole sequence is the one
-shingle; equal doc_ids are one document's rows; other columns are ignored.
+shingle; rows of one doc_id are one document, which has the links of each of
+its texts, and each row its own n_shingles; rows without doc_id link with
+nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +47,8 @@ DIMENSIONS = 32
 SKETCH_BITS = 23
 SLICES = 16
 LEAF = 16
-SPACE = np.uint64(0xFF)
+#: The bits of a key that hold its band; no percent has more bands.
+SPACE = np.uint64(0xFFFF)
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -70,9 +73,12 @@ class Bands:
     """Size bands and prefixes for one threshold t = percent/100."""
 
     def __init__(self, percent: int):
+        if not 1 <= percent <= 100:
+            raise ValueError("percent must be 1 to 100")
         self.percent, self.t = percent, Fraction(percent, 100)
         self.edges = [1]
-        while self.edges[-1] < 1 << 40:  # band i holds edges[i] <= n < edges[i + 1]
+        # band i holds edges[i] <= n < edges[i + 1]; at 100 equal sets only link, which are one class
+        while percent < 100 and self.edges[-1] < 1 << 40:
             self.edges.append(max(self.edges[-1] + 1, math.ceil(self.edges[-1] / self.t)))
 
     def of(self, n: int) -> int:
@@ -91,7 +97,7 @@ class Bands:
             return np.zeros(0, np.uint64)
         own, length = self.of(n), n - math.ceil(self.t * n) + 1
         rare = tokens[np.lexsort((tokens, counts[sketch_place(tokens)]))[:length]]
-        return np.concatenate([c.mix(rare + np.uint64(band * 0x1000003 + 1)) & ~SPACE | np.uint64(band & 0xFF) for band in {own, max(own - 1, 0)}])
+        return np.concatenate([c.mix(rare + np.uint64(band * 0x1000003 + 1)) & ~SPACE | np.uint64(band) for band in {own, max(own - 1, 0)}])
 
 
 def sketch_place(tokens: np.ndarray) -> np.ndarray:
@@ -153,7 +159,7 @@ def candidate_pairs(docs: DataFrame, k: int, bands: Bands, shards: int, counts:
             if not keys:
                 continue
             space, u, v, keys, docs = stars(np.concatenate(keys), np.concatenate(docs))
-            shard = ((keys >> np.uint64(8)) % np.uint64(shards)).astype(np.int64)
+            shard = ((keys >> np.uint64(16)) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             shard, keys, docs = shard[order], keys[order], docs[order]
             cut = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]]).astype(int) if len(shard) else np.zeros(0, int)
@@ -167,8 +173,7 @@ def candidate_pairs(docs: DataFrame, k: int, bands: Bands, shards: int, counts:
             u, v = keys.view(np.int64), docs
         else:
             space, u, v, _, _ = stars(keys, docs)
-        pairs = np.unique(np.stack([space, u, v], axis=1), axis=0) if len(u) else np.zeros((0, 3), np.int64)
-        return pa.Table.from_arrays([pa.array(pairs[:, i]) for i in range(3)], names=["space", "u", "v"])
+        return pa.Table.from_arrays([pa.array(x) for x in distinct(space, u, v)], names=["space", "u", "v"])
 
     sent = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(send, "shard long, keys binary, docs binary, spaces binary")
     # a batch's own stars (shard < 0) need no meeting: spread them evenly
@@ -176,18 +181,26 @@ def candidate_pairs(docs: DataFrame, k: int, bands: Bands, shards: int, counts:
     return sent.groupBy("shard").applyInArrow(meet, "space long, u long, v long")
 
 
+def distinct(space: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct triples, sorted."""
+    order = np.lexsort((v, u, space))
+    space, u, v = space[order], u[order], v[order]
+    new = np.ones(len(u), bool)
+    new[1:] = (space[1:] != space[:-1]) | (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+    return space[new], u[new], v[new]
+
+
 def stars(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct (band, document, least document of a key it has), and (key, least document)."""
-    order = np.lexsort((docs, keys))
+    order = np.argsort(keys, kind="stable")
     keys, docs = keys[order], docs[order]
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
     head = np.flatnonzero(new)
-    least = docs[head][np.cumsum(new) - 1] if len(keys) else docs
-    other = docs != least
-    found = np.stack([(keys[other] & SPACE).astype(np.int64), docs[other], least[other]], axis=1)
-    found = np.unique(found, axis=0) if len(found) else found
-    return found[:, 0].copy(), found[:, 1].copy(), found[:, 2].copy(), keys[head], docs[head]
+    least = np.minimum.reduceat(docs, head) if len(head) else docs
+    star = np.repeat(least, np.diff(np.append(head, len(keys))))
+    other = docs != star
+    return *distinct((keys[other] & SPACE).astype(np.int64), docs[other], star[other]), keys[head], least
 
 
 class CountTree:
@@ -229,52 +242,66 @@ def links_within(ids: np.ndarray, sets: list[np.ndarray], bands: Bands, part: np
     part = part[order] if part is not None else None
     sizes = np.array([len(x) for x in sets])
     points = np.stack([np.bincount((c.mix(x) % np.uint64(DIMENSIONS)).astype(np.int64), minlength=DIMENSIONS) for x in sets])
-    tree, root, edges = CountTree(points, sizes), list(range(len(ids))), []
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+    tree, label, edges = CountTree(points, sizes), np.arange(len(ids)), []
     for i in range(len(ids)):
         near = tree.search(points[i], int(sizes[i]), bands)
-        near = near[near < i]
+        near = near[near < i][::-1]
         if part is not None:
             near = near[part[near] != part[i]]
-        for j in near[::-1]:
-            if find(i) != find(int(j)):
-                a, b = sets[i], sets[j]
-                at = np.minimum(np.searchsorted(a, b), len(a) - 1)
-                if bands.reaches(int((a[at] == b).sum()), len(a), len(b)):
-                    root[max(find(i), find(int(j)))] = min(find(i), find(int(j)))
+        near = near[label[near] != label[i]]
+        while len(near):
+            # one candidate of each component at a time: the rest may be linked by then
+            first = np.sort(np.unique(label[near], return_index=True)[1])
+            tried = near[first]
+            for j in tried[bands.reaches(overlaps(sets[i], [sets[j] for j in tried]), len(sets[i]), sizes[tried])]:
+                low, high = sorted((int(label[i]), int(label[j])))
+                if low != high:
+                    label[label == high] = low
                     edges.append((max(int(ids[i]), int(ids[j])), min(int(ids[i]), int(ids[j]))))
+            near = np.delete(near, first)
+            near = near[label[near] != label[i]]
     return edges, sizes
 
 
-def join(docs: DataFrame, k: int = 5, percent: int = 80, group_shingles: int = 4_000_000, batch_bytes: int = 48 << 20) -> DataFrame:
+def overlaps(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each of the sets (none is empty) shares with `own`."""
+    every = np.concatenate(others)
+    hits = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+    return np.add.reduceat(hits.astype(np.int64), np.cumsum([0, *(len(x) for x in others[:-1])]))
+
+
+def join(docs: DataFrame, k: int = 5, percent: int = 80, group_shingles: int = 4_000_000, batch_bytes: int = 12 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id that links reach."""
     c.ready(docs.sparkSession)
-    bands = Bands(percent)
-    shards = c.spread(docs, "text", batch_bytes)
     gathered = profile(docs, k).checkpoint()
-    counts = count_sketch(gathered)
     profiles = gathered.where("slice is null").select("doc_id", "n", "h1", "h2")
     known = profiles.where("n > 0 and doc_id is not null")
     classes = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("n"), F.count("*").alias("copies")).checkpoint()
     member = known.join(classes.select("h1", "h2", "class_id"), ["h1", "h2"]).select("doc_id", "class_id")
+    # a document whose rows are in several classes links them
+    own = member.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("class_id").alias("most")).checkpoint()
+    several = member.join(own.where("class_id <> most").select("doc_id"), "doc_id", "left_semi")
+    links = several.select(F.col("doc_id").alias("u"), F.col("class_id").alias("v"))
+    if percent < 100:
+        links = links.union(class_links(docs, k, Bands(percent), count_sketch(gathered), classes, member.where("doc_id <> class_id").union(several).distinct(), group_shingles, c.spread(docs, "text", batch_bytes)).checkpoint())
+    groups = connected(links.select(F.lit(0).cast("long").alias("space"), "u", "v")).select(F.col("node").alias("class_id"), F.col("component").alias("linked"))
+    found = own.join(groups, "class_id", "left").select("doc_id", F.coalesce("linked", "class_id").alias("component_id"))
+    return profiles.join(found, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def class_links(docs: DataFrame, k: int, bands: Bands, counts: np.ndarray, classes: DataFrame, moved: DataFrame, group_shingles: int, shards: int) -> DataFrame:
+    """(u, v): links between classes, enough to join what is linked.  moved: the
+    classes of the documents that are not just their own."""
     # a pair comes from every shard where it has a fingerprint: each once from here on
     pairs = candidate_pairs(docs, k, bands, shards, counts).distinct().checkpoint()
-    moved = member.where("doc_id <> class_id")
     raised = lambda e, end: e.join(moved.withColumnRenamed("doc_id", end), end, "left").withColumn(end, F.coalesce("class_id", end)).drop("class_id")
-    pairs = raised(raised(pairs, "u"), "v").where("u <> v").distinct()
+    pairs = raised(raised(pairs, "u"), "v").select("space", "u", "v")
     # components of each band by itself: a set is in two bands at most, and sets
     # too unlike in size for a link don't gather in one component
-    possible = connected(pairs.select(F.struct("space", "u").alias("u"), F.struct("space", F.col("v").alias("u")).alias("v")))
-    possible = possible.select(F.col("node.u").alias("node"), F.col("component.space").alias("space"), F.col("component.u").alias("component")).checkpoint()
+    possible = connected(pairs).checkpoint()
     load = possible.join(classes.select(F.col("class_id").alias("node"), "n"), "node").groupBy("space", "component").agg(F.sum("n").alias("load"), F.min("n").alias("least"))
     # without a set of the lower band, the component is compared in its own band
-    upper = F.element_at(F.array(*[F.lit(x) for x in bands.edges[:258]]), F.col("space").cast("int") + 2)
+    upper = F.element_at(F.array(*[F.lit(x) for x in bands.edges]), F.col("space").cast("int") + 2)
     load = load.where(F.col("least") < upper).drop("least")
     dealt = possible.join(load, ["space", "component"]).withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.col("load") * 2 / group_shingles)).cast("int"))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
@@ -284,17 +311,19 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, group_shingles: int = 4
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(dealt, "node")
 
     def verify(table: pa.Table) -> pa.Table:
-        ids, first = np.unique(table.column("node").to_numpy(), return_index=True)
-        table = table.take(first)
-        sets = list(shingle_sets(c.as_text(table.column("text")), k))
-        part = table.column("chunk").to_numpy() if table.column("a")[0].as_py() != table.column("b")[0].as_py() else None
-        edges, _ = links_within(ids, sets, bands, part)
+        # once for each text of a document that has several
+        rows: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
+        for i, (node, x) in enumerate(zip(table.column("node").to_pylist(), shingle_sets(c.as_text(table.column("text")), k), strict=True)):
+            if len(x):
+                rows.setdefault((node, hash(x.tobytes())), (i, x))
+        if not rows:
+            return pa.Table.from_arrays([pa.array([], pa.int64())] * 2, names=["u", "v"])
+        at = [i for i, _ in rows.values()]
+        part = table.column("chunk").to_numpy()[at] if table.column("a")[0].as_py() != table.column("b")[0].as_py() else None
+        edges, _ = links_within(np.array([node for node, _ in rows]), [x for _, x in rows.values()], bands, part)
         return pa.Table.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
-    links = texts.groupBy("space", "component", "a", "b").applyInArrow(verify, "u long, v long")
-    groups = connected(links.checkpoint()).select(F.col("node").alias("class_id"), F.col("component").alias("linked"))
-    found = member.join(groups, "class_id", "left").select("doc_id", F.coalesce("linked", "class_id").alias("component_id")).dropDuplicates(["doc_id"])
-    return profiles.join(found, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return texts.groupBy("space", "component", "a", "b").applyInArrow(verify, "u long, v long")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
