@@ -1,29 +1,37 @@
-"""Line dedup: repeated runs of lines by distributed prefix doubling.
-
-A text is a sequence of line ids (128-bit fingerprints of its lines with a
-word).  Round k gives every place a name for its next 2**k lines, made of two
-names of the round before (prefix doubling); places whose name occurs once
-drop out, since no longer run there repeats.  What remains of a round are the
-intervals of the suffix array whose common prefix has 2**k lines or more.
-
-For every place the shortest runs with `min_words` words that start and that
-end there are named by two overlapping names of the largest round within them.
-The union of the runs found earlier (smaller doc_id, then place) is what the
-maximal repeated runs of that many words cover; these lines are deleted, the
-first copy stays.
-
-Rows are (document, place) pairs of a few numbers; texts are read twice and
+"""Line dedup: a suffix array of line sequences by distributed prefix doubling.
+
+A text is a sequence of line ids (128-bit BLAKE2 digests of its lines with a
+word, so that equal ids are equal lines).  Round k ranks the places by their
+next 2**k lines: the rank of a place is the position of its prefix in the sorted
+order of all prefixes that occur twice or more, found by a range sort of the
+pairs (rank of the first half, rank of the second half) of the round before.
+Places whose prefix occurs once drop out: their suffix shares fewer than 2**k
+lines with any other.  From round 1 on names are ranks, not hashes, so that they
+are exact.
+
+A rank of round k is an interval of the suffix array with a longest common prefix
+of 2**k lines or more, and two ranks that overlap name the interval of any length
+between 2**k and 2**(k+1).  For every place the shortest runs with `min_words`
+words that start and that end there are looked up so: an interval of two
+suffixes or more is a repeated run, its first suffix (least doc_id, then place)
+the copy that stays.  The union of the runs of the other suffixes is what the
+maximal repeated runs of that many words cover, and is deleted.
+
+Rows are (document, place) pairs of a few numbers; texts are read three times and
 joined once with the runs to delete.  Counts per name combine before the
-shuffle.  Rounds are checkpointed.
+shuffle; a name of over `HOT` rows is dealt to as many tasks as its count asks
+for.  Each round is checkpointed, its finds too, so that no plan spans two.
 
 Defined cases: null or empty texts have no lines and stay as they are; blank
 lines take no part, but go with a run that spans them; runs may overlap their
-copies; of rows with equal doc_id and place one line counts; documents with
-null doc_id lose nothing and are no one's earlier copy.
+copies; rows of one doc_id with different texts are documents of their own (in
+the order of a hash of the text), with the same text one document; documents
+with null doc_id lose nothing and are no one's earlier copy.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +41,9 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-LINES = "doc_id long, i long, line long, span long, length long, back_span long, back long, x long, y long"
-SALT = 8
+LINES = "doc_id long, v long, i long, line long, span long, length long, back_span long, back long, x long, y long"
+DOC = ["doc_id", "v"]
+HOT = 1 << 18
 
 
 def line_table(docs: DataFrame, min_words: int) -> DataFrame:
@@ -42,12 +51,12 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
     among all), length and span (lines with a word, and all lines, of the
     shortest run from here with min_words words; null if the text ends before),
     back and back_span (the same of the shortest run that ends here), x and y
-    (the line's id)."""
+    (the line's id); v is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b, data, starts, ends in c.chunks(c.as_text(batch.column(1))):
+            ids, versions = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for a, b, data, starts, ends in c.chunks(c.as_text(batch.column(2))):
                 # the separator after each text ends its last line
                 data = data.copy()
                 data[ends] = 0x0A
@@ -69,75 +78,79 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
                 behind = since >= at[doc]
                 back = np.arange(len(doc)) + 1 - since
                 back_span = line - line[np.maximum(since, 0)] + 1 if len(doc) else line
-                prefix = c.prefix_hash(data)
-                x = c.range_hash(prefix, begin, stop)
-                y = c.range_hash(c.prefix_hash(data ^ np.uint8(0x5A)), begin, stop)
+                raw = memoryview(data)
+                name = np.frombuffer(b"".join(hashlib.blake2b(raw[p:q], digest_size=16).digest() for p, q in zip(begin.tolist(), stop.tolist(), strict=True)), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[a + doc].astype(np.int64)), pa.array(np.arange(len(doc)) - at[doc]), pa.array(line), pa.array(span, mask=~inside), pa.array(length, mask=~inside), pa.array(back_span, mask=~behind), pa.array(back, mask=~behind), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))],
-                    names=["doc_id", "i", "line", "span", "length", "back_span", "back", "x", "y"],
+                    [pa.array(ids[a + doc].astype(np.int64)), pa.array(versions[a + doc].astype(np.int64)), pa.array(np.arange(len(doc)) - at[doc]), pa.array(line), pa.array(span, mask=~inside), pa.array(length, mask=~inside), pa.array(back_span, mask=~behind), pa.array(back, mask=~behind), pa.array(name[:, 0]), pa.array(name[:, 1])],
+                    names=["doc_id", "v", "i", "line", "span", "length", "back_span", "back", "x", "y"],
                 )
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, LINES)
-
-
-def _salted(rows: DataFrame, few: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """rows joined with few (a row per key, most keys gone), hot keys dealt to
-    SALT tasks: few goes to each of them."""
-    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "i"), F.lit(SALT)).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("v"), "text").mapInArrow(run, LINES)
 
 
-def _repeated(rows: DataFrame, *name: str) -> DataFrame:
-    again = rows.groupBy(*name).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return _salted(rows, again, list(name), "left_semi")
+def _ranked(names: DataFrame, *by: str) -> DataFrame:
+    """names (distinct by `by`) with rank: growing in their sorted order."""
+    ordered = names.repartitionByRange(*by).sortWithinPartitions(*by)
+    return ordered.withColumn("rank", F.monotonically_increasing_id()).checkpoint()
 
 
-def _with_name(rows: DataFrame, names: DataFrame, at, x: str, y: str) -> DataFrame:
-    """rows with the name at place `at` of their document; those without go."""
-    return rows.withColumn("_j", at).join(names.select("doc_id", F.col("i").alias("_j"), F.col("x").alias(x), F.col("y").alias(y)), ["doc_id", "_j"]).drop("_j")
+def _joined(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with few (a row a key; n: how many of the rows have it), a
+    key of over HOT rows in tasks of about HOT.  There are at most 1 / HOT as
+    many such keys as rows."""
+    parts = F.ceil(F.col("n") / HOT).cast("int")
+    hot = few.where(F.col("n") > HOT).select(*keys, parts.alias("_parts"))
+    n_hot = hot.count()
+    if not n_hot:
+        return rows.join(few.drop("n"), keys)
+    rows = rows.join(F.broadcast(hot) if n_hot < 100_000 else hot, keys, "left")
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(*DOC, "i"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    dealt = few.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    return rows.join(dealt, [*keys, "_part"]).drop("_part")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 40) -> DataFrame:
-    """doc_id, start, end: maximal runs of lines to delete (numbers of lines, half-open)."""
+    """doc_id, v, start, end: maximal runs of lines to delete (numbers of lines, half-open)."""
     c.ready(docs.sparkSession)
-    rows = line_table(docs, min_words)
-    rows = rows.groupBy("doc_id", "i").agg(F.min(F.struct("line", "span", "length", "back_span", "back", "x", "y")).alias("r")).select("doc_id", "i", "r.*")
-    rows = _repeated(rows, "x", "y").checkpoint()
-    names = rows.select("doc_id", "i", "x", "y")
-    ahead = rows.where("length is not null").select("doc_id", "i", "line", "span", "length")
-    behind = rows.where("back is not null").select("doc_id", (F.col("i") - F.col("back") + 1).alias("i"), (F.col("line") - F.col("back_span") + 1).alias("line"), F.col("back_span").alias("span"), F.col("back").alias("length"))
-    todo = ahead.union(behind).distinct().checkpoint()
-    size, found = 1, []
+    lines = line_table(docs, min_words)
+    names = _ranked(lines.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1"), "x", "y")
+    rows = _joined(lines, names, ["x", "y"]).drop("x", "y").dropDuplicates([*DOC, "i"]).checkpoint()
+    at = rows.select(*DOC, "i", F.col("rank").alias("r"))
+    ahead = rows.where("length is not null").select(*DOC, "i", "line", "span", "length")
+    behind = rows.where("back is not null").select(*DOC, (F.col("i") - F.col("back") + 1).alias("i"), (F.col("line") - F.col("back_span") + 1).alias("line"), F.col("back_span").alias("span"), F.col("back").alias("length"))
+    todo, size, found = ahead.union(behind).distinct(), 1, []
     while True:
-        own = _with_name(todo.where(F.col("length") < 2 * size), names, F.col("i"), "x1", "y1")
-        own = _with_name(own, names, F.col("i") + F.col("length") - size, "x2", "y2")
-        found.append(own.select("doc_id", "i", "line", "span", "length", F.xxhash64("x1", "x2").alias("k1"), F.xxhash64("y1", "y2").alias("k2")))
-        todo = todo.where(F.col("length") >= 2 * size)
+        # the interval of the first `size` lines of each run; runs without one do not repeat
+        todo = todo.join(at.hint("merge"), [*DOC, "i"]).checkpoint()
+        last = at.select(*DOC, F.col("i").alias("_j"), F.col("r").alias("r2")).hint("merge")
+        own = todo.where(F.col("length") < 2 * size).withColumn("_j", F.col("i") + F.col("length") - size).join(last, [*DOC, "_j"])
+        found.append(own.select(*DOC, "i", "line", "span", "length", F.col("r").alias("r1"), "r2").checkpoint())
+        todo = todo.where(F.col("length") >= 2 * size).drop("r")
         if todo.isEmpty():
             break
-        twice = _with_name(names, names, F.col("i") + size, "x2", "y2")
-        twice = twice.select("doc_id", "i", F.xxhash64("x", "x2").alias("x"), F.xxhash64("y", "y2").alias("y"))
-        names = _repeated(twice, "x", "y").checkpoint()
-        todo = todo.join(names.select("doc_id", "i"), ["doc_id", "i"], "left_semi").checkpoint()
+        after = Window.partitionBy(*DOC).orderBy("i").rangeBetween(size, size)
+        pairs = at.withColumn("r2", F.max("r").over(after)).where("r2 is not null")
+        names = _ranked(pairs.groupBy("r", "r2").agg(F.count("*").alias("n")).where("n > 1"), "r", "r2")
+        at = _joined(pairs, names, ["r", "r2"]).select(*DOC, "i", F.col("rank").alias("r")).checkpoint()
         size *= 2
     runs = found[0]
     for part in found[1:]:
         runs = runs.unionByName(part)
-    key = ["k1", "k2", "length"]
-    first = runs.groupBy(*key).agg(F.min(F.struct("doc_id", "i")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # equal keys of different sizes differ in length; places are compared whole
-    later = _salted(runs, first, key, "inner").where(F.struct("doc_id", "i") > F.col("first"))
-    lines = later.select("doc_id", F.explode(F.sequence("line", F.col("line") + F.col("span") - 1)).alias("line")).distinct()
-    order = Window.partitionBy("doc_id").orderBy("line")
-    islands = lines.withColumn("island", F.col("line") - F.row_number().over(order))
-    return islands.groupBy("doc_id", "island").agg(F.min("line").alias("start"), (F.max("line") + 1).alias("end")).drop("island")
+    interval, place = ["length", "r1", "r2"], F.struct(*DOC, "i")  # ranks of different rounds differ in length
+    first = runs.groupBy(*interval).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").checkpoint()
+    later = _joined(runs, first, interval).where(place > F.col("first")).select(*DOC, F.col("line").alias("start"), (F.col("line") + F.col("span")).alias("end"))
+    order = Window.partitionBy(*DOC).orderBy("start", "end")
+    later = later.withColumn("_upto", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    later = later.withColumn("_run", F.sum(F.when(F.col("start") <= F.col("_upto"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return later.groupBy(*DOC, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
 
 
 def remove_runs(docs: DataFrame, min_words: int = 40, text: str = "text") -> DataFrame:
     """docs with the repeated runs cut from the text, and the columns _runs
     (array of (start, end), null where nothing goes) added."""
-    runs = repeated_runs(docs.select("doc_id", F.col(text).alias("text")), min_words).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_runs"))
-    joined = docs.join(runs, "doc_id", "left")
+    runs = repeated_runs(docs.select("doc_id", F.col(text).alias("text")), min_words).groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_runs"))
+    runs = runs.select(F.col("doc_id").alias("_doc"), F.col("v").alias("_version"), "_runs")
+    joined = docs.join(runs, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.xxhash64(text) == F.col("_version")), "left")
     gone = lambda p: F.exists("_runs", lambda r: (p >= r["start"]) & (p < r["end"]))
     kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, p: ~gone(p)), "\n")
     return joined.withColumn(text, F.when(F.col("_runs").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns, "_runs")
