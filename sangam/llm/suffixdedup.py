@@ -11,20 +11,26 @@ match of `length` bytes is missed.
 2. each batch sends the remaining suffixes, with the bytes around them that a
    window can reach, to the shard of the anchor (equal ones once a batch, with
    the least and largest document);
-3. a shard keeps a logarithmic index family: every batch's windows become a
-   sorted array (level 0), two levels of equal size merge into the next, and
-   every batch is merge-scanned against the levels for the least document that
-   holds each window;
+3. a shard keeps a logarithmic index family of sparse suffix arrays: suffixes
+   sorted by the bytes behind the place, then by those before it, read backwards.
+   It takes its suffixes in slices, in order of their least document.  Every
+   slice gets its suffix array, is merge-scanned against the levels for matches
+   of `length` bytes, and becomes a level itself; two levels of equal size merge
+   into the next;
 4. each batch marks the windows held by a smaller document, and cuts the bytes.
 
-Windows are sorted by a 64-bit fingerprint of their bytes, not alphabetically:
-equal windows stand together, which is what the merge-scan needs.  Anchors and
-windows meet only within a shard, so that a chance collision stays as unlikely
-at any size.
+A match is read off common prefixes: of neighbours in the order of the bytes
+behind (so far to the right) and in that of the bytes before (so far to the
+left); a window that starts o bytes before the place is shared by the suffixes
+that agree in o bytes before it and length - o behind it.  These are bytes, no
+fingerprints.  As slices come in order of their least documents, the least
+document of a window stands in the slice itself or in a level, and no earlier
+slice has to be seen again.
 
 A hot string costs a shard one entry a batch, however many documents hold it,
 and a batch holds whole texts of about `batch_bytes`; the number of batches and
 shards follows the input.  The dealt texts are one exchange, read three times.
+Within a batch contexts are told apart by a 64-bit hash modulo a prime.
 
 Defined cases: null and empty texts have no bytes and lose none; texts shorter
 than `length` are kept whole; repeats within one document stay; of equal
@@ -246,79 +252,126 @@ def suffixes_of(length: int, shards: int):
     return run
 
 
-class IndexFamily:
-    """Sorted arrays of (window, least document), at most one of each size
-    class: a new array is merged with one of its class, and the result with one
-    of the next, so that n batches cost log n merges each."""
+class SuffixIndex:
+    """Sorted suffix arrays of one shard, at most one of each size class: a new
+    one is merged with one of its class, and the result with one of the next,
+    so that n slices cost log n merges each.
 
-    def __init__(self) -> None:
-        self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    An array has rows of bytes (`length` behind the place, then those before it,
+    last first), the flags of the windows that they stand for, and the least
+    document of each."""
 
-    def add(self, keys: np.ndarray, docs: np.ndarray) -> None:
+    def __init__(self, length: int):
+        self.length, self.reach = length, length - ANCHOR
+        self.levels: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    @staticmethod
+    def array(text: np.ndarray, flags: np.ndarray, docs: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        """The suffix array of the rows, equal ones once; where each row is in it."""
+        order = np.argsort(_as_strings(text), kind="stable")
+        text, flags, docs = text[order], flags[order], docs[order]
+        new = np.ones(len(text), bool)
+        new[1:] = (text[1:] != text[:-1]).any(axis=1) | (flags[1:] != flags[:-1])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        head = np.flatnonzero(new)
+        return (text[head], flags[head], np.minimum.reduceat(docs, head) if len(head) else docs), place
+
+    def add(self, new: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
         level = 0
-        keys, docs = self._least(keys, docs)
         while level in self.levels:
-            old_keys, old_docs = self.levels.pop(level)
-            keys, docs = self._least(np.concatenate([old_keys, keys]), np.concatenate([old_docs, docs]))
+            old = self.levels.pop(level)
+            new, _ = self.array(*(np.concatenate(x) for x in zip(old, new, strict=True)))
             level += 1
-        self.levels[level] = keys, docs
-
-    @staticmethod
-    def _least(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return keys, docs
-        order = np.argsort(keys, kind="stable")
-        keys, docs = keys[order], docs[order]
-        first = np.concatenate([[0], _group_ends(keys)[:-1]]).astype(int)
-        return keys[first], np.minimum.reduceat(docs, first)
-
-    def least(self, keys: np.ndarray) -> np.ndarray:
-        """Least document that holds each window."""
-        out = np.full(len(keys), c.NO_DOC)
-        for have, docs in self.levels.values():
-            if len(have):
-                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-                hit = have[at] == keys
-                out[hit] = np.minimum(out[hit], docs[at[hit]])
-        return out
-
-
-def scan_shard(length: int):
-    """Shard: merge-scan of every batch's windows against the index family ->
-    (batch, marks, flags of windows, the smaller document that holds them)."""
+        self.levels[level] = new
+
+    def scan(self, new: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """Least document that holds each window of the new array's rows, in it
+        or in a level: one row a suffix, one column an offset (NO_DOC: no window)."""
+        text = new[0]
+        anchor = np.ones(len(text), bool)
+        anchor[1:] = (text[1:, :ANCHOR] != text[:-1, :ANCHOR]).any(axis=1)
+        ends = []
+        for fill in (0, 255):
+            bound = np.full((int(anchor.sum()), text.shape[1]), fill, np.uint8)
+            bound[:, :ANCHOR] = text[anchor, :ANCHOR]
+            ends.append(_as_strings(bound))
+        parts = [new]
+        for level in self.levels.values():  # the rows of a level that begin like one of ours
+            have = _as_strings(level[0])
+            low, high = np.searchsorted(have, ends[0], "left"), np.searchsorted(have, ends[1], "right")
+            many = high - low
+            pick = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            parts.append(tuple(x[pick] for x in level))
+        (text, flags, docs), place = self.array(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        behind = _common_prefix(text[:, : self.length])
+        before = np.ascontiguousarray(text[:, self.length :])
+        by_left = np.argsort(_as_strings(before), kind="stable")
+        ahead = _common_prefix(before[by_left])
+        least = np.full((len(text), self.reach + 1), c.NO_DOC)
+        left = np.empty(len(text), np.int64)
+        for o in range(self.reach + 1):
+            own = np.flatnonzero((flags >> np.uint32(o)) & np.uint32(1))
+            if not len(own):
+                continue
+            right = np.cumsum(behind < self.length - o)
+            left[by_left] = np.cumsum(ahead < o)
+            key = right[own] << 32 | left[own]
+            order = np.argsort(key)
+            key = key[order]
+            new_key = np.ones(len(key), bool)
+            new_key[1:] = key[1:] != key[:-1]
+            first = np.minimum.reduceat(docs[own[order]], np.flatnonzero(new_key))
+            least[own[order], o] = first[np.cumsum(new_key) - 1]
+        return least[place[: len(new[0])]]
+
+
+def _as_strings(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as values that compare bytewise."""
+    return np.ascontiguousarray(rows).view(f"S{rows.shape[1]}")[:, 0] if len(rows) else np.zeros(0, f"S{rows.shape[1]}")
+
+
+def _common_prefix(rows: np.ndarray) -> np.ndarray:
+    """How many bytes each row has in common with the one before it (-1: none before)."""
+    differ = np.ones((len(rows), rows.shape[1] + 1), bool)
+    np.not_equal(rows[1:], rows[:-1], out=differ[1:, :-1])
+    out = differ.argmax(axis=1)
+    out[:1] = -1
+    return out
+
+
+def scan_shard(length: int, slice_rows: int = 1 << 15):
+    """Shard: its suffixes slice by slice through the index family -> (batch,
+    marks, flags of windows, the smaller document that holds them)."""
     reach = length - ANCHOR
-    width = reach + length
-
-    def windows(block: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        prefix = np.zeros((len(block), width + 1), np.uint64)
-        np.cumsum(c._TABLE[block] * c.powers(width), axis=1, out=prefix[:, 1:])
-        own = (flags[:, None] >> np.arange(reach + 1, dtype=np.uint32)) & np.uint32(1) == 1
-        start = reach - np.arange(reach + 1)
-        keys = c.mix((prefix[:, start + length] - prefix[:, start]) * c.powers(width, "down")[start])
-        return keys[own], own
+    kinds = (("marks", np.uint64, False), ("bytes", np.uint8, True), ("flags", np.uint32, True), ("first", np.int64, True), ("last", np.int64, True))
 
     def run(table: pa.Table) -> pa.Table:
-        family, rows = IndexFamily(), []
-        packed = [table.column(x).to_pylist() for x in ("bytes", "flags", "first")]
-        for block, flags, first in zip(*packed, strict=True):
-            keys, own = windows(_unpacked(block, np.uint8).reshape(-1, width), _unpacked(flags, np.uint32))
-            family.add(keys, np.repeat(_unpacked(first, np.int64), own.sum(axis=1)))
-        for batch, marks, last, block, flags in zip(table.column("batch").to_pylist(), _blobs(table, "marks", np.uint64), table.column("last").to_pylist(), packed[0], packed[1], strict=True):
-            keys, own = windows(_unpacked(block, np.uint8).reshape(-1, width), _unpacked(flags, np.uint32))
-            last = _unpacked(last, np.int64)
-            least = np.full(own.shape, c.NO_DOC)
-            least[own] = family.least(keys)
-            least[least >= last[:, None]] = c.NO_DOC
+        marks, block, flags, first, last = ([_unpacked(x, kind) if packed else np.frombuffer(x, kind) for x in table.column(name).to_pylist()] for name, kind, packed in kinds)
+        source = np.repeat(np.arange(len(marks)), [len(x) for x in marks])
+        marks, flags, first, last = (np.concatenate(x) for x in (marks, flags, first, last))
+        block = np.concatenate(block).reshape(-1, reach + length)
+        order = np.argsort(first, kind="stable")
+        index, found = SuffixIndex(length), []
+        for at in range(0, len(order), slice_rows):
+            own = order[at : at + slice_rows]
+            text = np.concatenate([block[own, reach:], block[own, reach - 1 :: -1]], axis=1)
+            new, place = index.array(text, flags[own], first[own])
+            least = index.scan(new)[place]
+            index.add(new)
+            least[least >= last[own, None]] = c.NO_DOC
             todo = np.flatnonzero((least < c.NO_DOC).any(axis=1))
-            out: list[tuple[np.ndarray, ...]] = []
             while len(todo):
                 doc = least[todo].min(axis=1)
                 same = least[todo] == doc[:, None]
-                out.append((marks[todo], (same << np.arange(reach + 1, dtype=np.int64)).sum(axis=1).astype(np.uint32), doc))
+                found.append((source[own[todo]], marks[own[todo]], (same << np.arange(reach + 1, dtype=np.int64)).sum(axis=1).astype(np.uint32), doc))
                 least[todo] = np.where(same, c.NO_DOC, least[todo])
                 todo = todo[(least[todo] < c.NO_DOC).any(axis=1)]
-            if out:
-                rows.append((batch, *(_binary(np.concatenate(x)) for x in zip(*out, strict=True))))
+        rows = []
+        if found:
+            source, *columns = (np.concatenate(x) for x in zip(*found, strict=True))
+            batches = table.column("batch").to_pylist()
+            rows = [(batches[k], *(_binary(x[own]) for x in columns)) for k, own in _by_shard(source)]
         return _rows(rows, [("batch", pa.int64()), ("marks", pa.binary()), ("flags", pa.binary()), ("docs", pa.binary())])
 
     return run
