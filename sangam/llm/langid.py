@@ -81,14 +81,15 @@ def emissions(field: Field, data: np.ndarray, first: np.ndarray, last: np.ndarra
     return score
 
 
-def posteriors(score: np.ndarray, start: np.ndarray, log_t: np.ndarray, log_0: np.ndarray) -> np.ndarray:
-    """Forward-backward over the chains [start[i], start[i+1]); no chain is empty."""
+def messages(score: np.ndarray, start: np.ndarray, log_t: np.ndarray, log_0: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Emissions, transitions, forward and backward messages (scaled) over the
+    chains [start[i], start[i+1]); no chain is empty."""
     n = np.diff(start)
     order = np.argsort(-n, kind="stable")
     at, n = start[:-1][order], n[order]
     e = np.exp(score - score.max(axis=1, keepdims=True)) + np.float32(1e-12)
     t = np.exp(log_t - log_t.max()).astype(np.float32)
-    ahead = np.empty_like(e)
+    ahead, behind = np.empty_like(e), np.empty_like(e)
     longest = int(n[0]) if len(n) else 0
     alive = np.searchsorted(-n, -np.arange(longest), "left")  # chains longer than i
     a = None
@@ -103,11 +104,30 @@ def posteriors(score: np.ndarray, start: np.ndarray, log_t: np.ndarray, log_0: n
         if m > len(b):
             b = np.concatenate([b, np.ones((m - len(b), score.shape[1]), np.float32)])
         w = at[:m] + i
-        back = e[w] * b
-        ahead[w] *= b
-        b = back @ t.T
+        behind[w] = b
+        b = (e[w] * b) @ t.T
         b /= b.sum(axis=1, keepdims=True)
-    return ahead / ahead.sum(axis=1, keepdims=True)
+    return e, t, ahead, behind
+
+
+def posteriors(score: np.ndarray, start: np.ndarray, log_t: np.ndarray, log_0: np.ndarray) -> np.ndarray:
+    """Forward-backward: each word's distribution over the languages."""
+    _, _, gamma, behind = messages(score, start, log_t, log_0)
+    gamma *= behind
+    return gamma / gamma.sum(axis=1, keepdims=True)
+
+
+def expectations(score: np.ndarray, start: np.ndarray, log_t: np.ndarray, log_0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words' distributions, and the expected number of each transition:
+    the sum over neighbours of forward x transition x emission x backward."""
+    e, t, ahead, behind = messages(score, start, log_t, log_0)
+    gamma = ahead * behind
+    inner = np.ones(len(score), bool)
+    inner[start[:-1]] = False
+    j = np.flatnonzero(inner)
+    pair = ahead[j - 1][:, :, None] * t[None] * (e[j] * behind[j])[:, None, :]
+    pair /= pair.sum(axis=(1, 2), keepdims=True)
+    return gamma / gamma.sum(axis=1, keepdims=True), pair.sum(axis=0, dtype=float)
 
 
 def fit(samples: list[tuple[str, str]], max_words: int = 40_000, epochs: int = 4, seed: int = 7) -> Field:
@@ -153,7 +173,7 @@ def fit(samples: list[tuple[str, str]], max_words: int = 40_000, epochs: int = 4
             flat, word_of, gold = np.concatenate(flat), np.concatenate(word_of), np.concatenate(gold)
             score = np.stack([np.bincount(word_of, weights[flat, k], n) for k in range(n_lang)], axis=1).astype(np.float32)
             chains = np.append(np.arange(0, n, CHAIN), n)
-            gamma = posteriors(score, chains, log_t, log_0)
+            gamma, joint = expectations(score, chains, log_t, log_0)
             error = -gamma.astype(float)
             error[np.arange(n), gold] += 1
             used, inverse = np.unique(flat, return_inverse=True)
@@ -166,9 +186,7 @@ def fit(samples: list[tuple[str, str]], max_words: int = 40_000, epochs: int = 4
             j = np.flatnonzero(pair)
             want = np.zeros((n_lang, n_lang))
             np.add.at(want, (gold[j - 1], gold[j]), 1)
-            joint = gamma[j - 1][:, :, None] * np.exp(log_t)[None] * gamma[j][:, None, :]
-            joint /= joint.sum(axis=(1, 2), keepdims=True)
-            log_t += 0.5 * (want - joint.sum(axis=0)) / max(1, len(j)) * n_lang
+            log_t += 0.5 * (want - joint) / max(1, len(j)) * n_lang
             log_0 += 0.1 * error[chains[:-1]].mean(axis=0)
     return Field(languages, weights.astype(np.float32), log_t.astype(np.float32), log_0.astype(np.float32))
 
@@ -209,39 +227,51 @@ def _score(field: Field, data: np.ndarray, starts: np.ndarray):
     return first, last, chain, gamma, np.searchsorted(first, np.append(starts, len(low)))
 
 
+def _predict(field: Field, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """lang_pred, score, n_words and n_foreign of each text."""
+    names = np.array([*field.languages, "und"], object)
+    pred, score, words, foreign = (np.full(len(texts), x, kind) for x, kind in ((len(names) - 1, int), (0.0, float), (0, int), (0, int)))
+    for a, b, data, starts, ends in c.chunks(texts, 3 << 20):
+        if not field.languages:
+            break
+        first, _, _, gamma, at = _score(field, data, starts)
+        n = np.diff(at)
+        sums = np.zeros((b - a, len(field.languages)))
+        if len(first):
+            full = np.flatnonzero(n)
+            sums[full] = np.add.reduceat(gamma, at[:-1][full], axis=0)
+        own = sums.argmax(axis=1)
+        letters = n > 0
+        ascii_letter = np.concatenate([[0], np.cumsum(LETTER[data] & (data < 128))])
+        for i in np.flatnonzero(letters & (ascii_letter[ends] == ascii_letter[starts])):
+            letters[i] = any(x.isalpha() for x in texts[a + int(i)].as_py())
+        pred[a:b] = np.where(letters, own, len(names) - 1)
+        score[a:b] = np.where(letters, sums.max(axis=1) / np.maximum(n, 1), 0.0)
+        words[a:b] = n
+        doc_of = np.repeat(np.arange(b - a), n)
+        foreign[a:b] = np.bincount(doc_of[gamma.argmax(axis=1) != own[doc_of]], minlength=b - a) if len(first) else 0
+    return names[pred], np.clip(score, 0, 1), words, foreign
+
+
 def identify(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, n_words, n_foreign (words of another language)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array([*field.languages, "und"], object)
         for batch in batches:
-            texts = c.as_text(batch.column(1))
-            pred, score, words, foreign = (np.full(len(texts), x, kind) for x, kind in ((len(names) - 1, int), (0.0, float), (0, int), (0, int)))
-            for a, b, data, starts, ends in c.chunks(texts, 3 << 20):
-                if not field.languages:
-                    break
-                first, _, _, gamma, at = _score(field, data, starts)
-                n = np.diff(at)
-                sums = np.zeros((b - a, len(field.languages)))
-                if len(first):
-                    full = np.flatnonzero(n)
-                    sums[full] = np.add.reduceat(gamma, at[:-1][full], axis=0)
-                own = sums.argmax(axis=1)
-                letters = n > 0
-                ascii_letter = np.concatenate([[0], np.cumsum(LETTER[data] & (data < 128))])
-                for i in np.flatnonzero(letters & (ascii_letter[ends] == ascii_letter[starts])):
-                    letters[i] = any(x.isalpha() for x in texts[a + int(i)].as_py())
-                pred[a:b] = np.where(letters, own, len(names) - 1)
-                score[a:b] = np.where(letters, sums.max(axis=1) / np.maximum(n, 1), 0.0)
-                words[a:b] = n
-                doc_of = np.repeat(np.arange(b - a), n)
-                foreign[a:b] = np.bincount(doc_of[gamma.argmax(axis=1) != own[doc_of]], minlength=b - a) if len(first) else 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[pred], pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(words, pa.int64()), pa.array(foreign, pa.int64())], names=["doc_id", "lang_pred", "score", "n_words", "n_foreign"])
+            pred, score, words, foreign = _predict(field, c.as_text(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(words, pa.int64()), pa.array(foreign, pa.int64())], names=["doc_id", "lang_pred", "score", "n_words", "n_foreign"])
 
     return docs.select("doc_id", text).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double, n_words long, n_foreign long")
 
 
-def reject_unknown(docs: DataFrame, field: Field, min_score: float = 0.5) -> DataFrame:
-    """Documents whose language is known with the given score; columns as they came."""
-    bad = identify(docs, field).where((F.col("lang_pred") == "und") | (F.col("score") < min_score)).select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+def reject_unknown(docs: DataFrame, field: Field, min_score: float = 0.5, text: str = "text") -> DataFrame:
+    """Documents whose language is known with the given score; columns as they
+    came.  Each row is judged by itself, in the pass that reads it."""
+    where = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pred, score, _, _ = _predict(field, c.as_text(batch.column(where)))
+            yield batch.filter(pa.array((pred != "und") & (score >= min_score), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
