@@ -1,22 +1,26 @@
 """PII surrogates: keyed, type-consistent replacements of personal data.
 
-Detected: e-mail addresses, phone numbers, card numbers, IPv4 addresses, social
-security numbers, quoted secrets (`token = "..."`), and persons after a title.
+Detected: e-mail addresses, phone numbers, card numbers, IPv4 and IPv6
+addresses, social security numbers, IBANs of valid check digits, quoted secrets
+(`token = "..."`), street lines with a number, and persons: names after a title,
+and pairs of names of which the first is a known given name.
 
 A replacement has the form of the original: each letter becomes a letter of
 the same script and case, each digit a digit, separators stay, as do country
-codes and top-level domains; card numbers keep their check digit's validity,
-IPv4 parts stay within 0 to 255, and known given names become given names of
-the same gender and script.  It is a keyed permutation (a Feistel network with
-keyed SHAKE-256 rounds) of all values of one form, so that different values stay
-different and equal values, in any document and any case, stay equal.  No table
-of values is needed, and lost tasks give the same result again.
+codes, top-level domains and street words; card numbers keep their check
+digit's validity, IBANs get valid check digits, IPv4 parts stay within 0 to 255,
+and known given names become given names of the same gender and script.
 
-`check` verifies this over the whole corpus: no two values share a surrogate,
-no value is its own.  `replace` repeats with the next tweak if one did.
+It is a keyed permutation of all values of one form without fixed points: a
+Feistel network with keyed SHAKE-256 rounds numbers the values, and each becomes
+the one a keyed distance behind it in that numbering.  So different values stay
+different, equal values, in any document and any case, stay equal, and no value
+stays itself; no table of values and no second pass is needed, and lost tasks
+give the same result again.  `check` counts exceptions in a corpus (there are none).
 
 Defined cases: null texts stay null, empty ones empty; repeated rows get equal
-results; very long texts are scanned whole; other columns stay.
+results; very long texts are scanned whole; a value without any letter or digit
+of a known script stays; other columns stay.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from pyspark.sql import types as T
 
 from . import common as c
 
-TYPES = ("email", "phone", "card", "ip", "ssn", "secret", "person")
+TYPES = ("email", "phone", "card", "ip", "ssn", "secret", "person", "iban", "ipv6", "street")
 ROUNDS = 8
 
 # Given names by script and gender, and titles by gender.
@@ -45,8 +49,15 @@ GIVEN = {
     ("cyrillic", "f"): ("Анна", "Вера", "Галина", "Елена", "Ирина", "Мария", "Наталья", "Ольга"),
 }
 TITLES = {"Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sir": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Señora": "f"}
-ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
+STREETS = ("Street", "St", "Avenue", "Ave", "Road", "Rd", "Lane", "Ln", "Boulevard", "Blvd", "Drive", "Square")
+STREETS_DE = ("straße", "strasse", "weg", "platz", "allee", "gasse")
+ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåçèéêëìíîïñòóôõöøùúûüý", "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
+#: First and last letters of scripts that are used whole: Hebrew, Arabic, Devanagari, Hiragana, Katakana, Han, Hangul.
+SCRIPTS = (("א", "ת"), ("ا", "ي"), ("क", "ह"), ("あ", "ん"), ("ア", "ン"), ("一", "龥"), ("가", "힣"))
 HEX = "0123456789abcdef"
+LETTERS = {ch: (a, i) for a in (*ALPHABETS, *("".join(map(chr, range(ord(x), ord(y) + 1))) for x, y in SCRIPTS)) for i, ch in enumerate(a)}
+HEX_DIGITS = {ch: (HEX, i) for i, ch in enumerate(HEX)}
+GENDERS = {name: g for (_, g), names in GIVEN.items() for name in names}
 
 EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 NUMBER = re.compile(
@@ -57,6 +68,12 @@ SECRET = re.compile(r"(?i)\b(?:token|api[_ -]?key|secret|password|passwd|pwd)[\"
 PERSON = re.compile(r"\b(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.? ([^\W\d_a-zа-я][^\W\d_]+)(?: ([^\W\d_a-zа-я][^\W\d_]+))?")
 
 
+PAIR = re.compile(r"\b([^\W\d_a-zа-я][^\W\d_]+) ([^\W\d_a-zа-я][^\W\d_]+)")
+IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
+IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:.])|(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![\w:.])")
+STREET = re.compile(r"\b\d{1,5} (?:[A-Z][^\W\d_]+ ){1,3}(?:" + "|".join(STREETS) + r")\b|\b[A-ZÄÖÜ][^\W\d_]*(?:" + "|".join(STREETS_DE) + r") \d{1,4}\b")
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) of the entities, in order, without overlaps."""
     found = []
@@ -64,8 +81,13 @@ def find(text: str) -> list[tuple[int, int, str]]:
         found += [(*m.span(), "email") for m in EMAIL.finditer(text)]
     if "=" in text or ":" in text:
         found += [(*m.span(1), "secret") for m in SECRET.finditer(text)]
+    if text.count(":") > 1:
+        found += [(*m.span(), "ipv6") for m in IPV6.finditer(text) if m[0].count(":") == 7 or "::" in m[0]]
+    found += [(*m.span(), "iban") for m in IBAN.finditer(text) if iban_rest(m[0]) == 1]
     found += [(*m.span(), m.lastgroup) for m in NUMBER.finditer(text)]
+    found += [(*m.span(), "street") for m in STREET.finditer(text)]
     found += [(m.start(2), m.end(), "person:" + TITLES[m[1]]) for m in PERSON.finditer(text)]
+    found += [(*m.span(), "person:" + GENDERS[m[1]]) for m in PAIR.finditer(text) if m[1] in GENDERS]
     out, last = [], 0
     for start, end, kind in sorted(found, key=lambda x: (x[0], -x[1])):
         if start >= last:
@@ -74,6 +96,12 @@ def find(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def iban_rest(value: str) -> int:
+    """What ISO 7064 wants to be 1."""
+    plain = value.replace(" ", "")
+    return int("".join(str(int(ch, 36)) for ch in plain[4:] + plain[:4])) % 97
+
+
 def luhn(digits: str) -> bool:
     total = sum(int(d) if i % 2 == 0 else (2 * int(d)) // 10 + (2 * int(d)) % 10 for i, d in enumerate(reversed(digits)))
     return total % 10 == 0
@@ -82,21 +110,32 @@ def luhn(digits: str) -> bool:
 class Permutation:
     """Keyed permutations of values of one form."""
 
-    def __init__(self, key: bytes, tweak: int = 0):
-        self.key, self.tweak = key, tweak
+    def __init__(self, key: bytes):
+        if not key:
+            raise ValueError("a key is needed")
+        self.key = key
         self.of = lru_cache(200_000)(self._of)
 
     def number(self, x: int, size: int, label: str) -> int:
-        """A permutation of 0..size-1: Feistel over two residues, walked until inside."""
+        """A permutation of 0..size-1 that leaves none in its place (size > 1):
+        all numbers in one keyed cycle."""
         if size <= 1:
             return 0
+        step = 1 + self._hash(f"{label}|{size}|step", size - 1)
+        return self._walk((self._walk(x, size, label, -1) + step) % size, size, label, 1)
+
+    def _walk(self, x: int, size: int, label: str, way: int) -> int:
+        """A keyed numbering of 0..size-1 or its inverse: Feistel over two residues, walked until inside."""
         a = math.isqrt(size - 1) + 1
         b = -(-size // a)
+        rounds = range(ROUNDS)[::way]
         while True:
             left, right = divmod(x, b)
-            for i in range(0, ROUNDS, 2):
-                left = (left + self._hash(f"{label}|{size}|{i}|{right}", a)) % a
-                right = (right + self._hash(f"{label}|{size}|{i + 1}|{left}", b)) % b
+            for i in rounds:
+                if i % 2:
+                    right = (right + way * self._hash(f"{label}|{size}|{i}|{left}", b)) % b
+                else:
+                    left = (left + way * self._hash(f"{label}|{size}|{i}|{right}", a)) % a
             x = left * b + right
             if x < size:
                 return x
@@ -104,18 +143,18 @@ class Permutation:
     def _hash(self, what: str, size: int) -> int:
         """A keyed number below size (SHAKE-256, 128 bits wider than size)."""
         head = len(self.key).to_bytes(4, "big") + self.key
-        return int.from_bytes(hashlib.shake_256(head + f"{self.tweak}|{what}".encode()).digest(size.bit_length() // 8 + 17), "big") % size
+        return int.from_bytes(hashlib.shake_256(head + what.encode()).digest(size.bit_length() // 8 + 17), "big") % size
 
-    def shape(self, value: str, label: str, alphabets: tuple[str, ...] = ALPHABETS) -> str:
+    def shape(self, value: str, label: str, letters: dict[str, tuple[str, int]] = LETTERS) -> str:
         """A value of the same form: symbols stay within their alphabets, others stay."""
-        own = [next((a for a in alphabets if ch in a), "") for ch in value]
+        own = [letters.get(ch, ("", 0)) for ch in value]
         x, size = 0, 1
-        for ch, a in zip(value, own, strict=True):
+        for a, i in own:
             if a:
-                x, size = x * len(a) + a.index(ch), size * len(a)
-        form = "".join(a[0] if a else ch for ch, a in zip(value, own, strict=True))
+                x, size = x * len(a) + i, size * len(a)
+        form = "".join(a[0] if a else ch for ch, (a, _) in zip(value, own, strict=True))
         y, out = self.number(x, size, f"{label}|{form}"), []
-        for ch, a in zip(reversed(value), reversed(own), strict=True):
+        for ch, (a, _) in zip(reversed(value), reversed(own), strict=True):
             if a:
                 y, r = divmod(y, len(a))
             out.append(a[r] if a else ch)
@@ -125,7 +164,10 @@ class Permutation:
         for (script, g), names in GIVEN.items():
             if g == gender and name in names:
                 return names[self.number(names.index(name), len(names), f"given|{script}|{g}")]
-        return self.shape(name, "name")
+        new = self.shape(name, "name")
+        while new in GENDERS and name not in GENDERS:  # known names are no one else's surrogates
+            new = self.shape(new, "name")
+        return new
 
     def _of(self, kind: str, value: str) -> str:
         if kind == "email":
@@ -149,17 +191,28 @@ class Permutation:
             digits = re.sub(r"\D", "", value)
             code = len(re.match(r"\+?(\d*)", value)[1]) if value.startswith("+") else 0
             return fill(value, digits[:code] + self.shape(digits[code:], "phone|" + digits[:code]))
+        if kind == "ipv6":
+            return recase(value, self.shape(value.lower(), kind, HEX_DIGITS))
+        if kind == "iban":
+            plain = value.replace(" ", "")
+            account = self.shape(plain[4:], "iban|" + plain[:2])
+            return fill(value, f"{plain[:2]}{98 - iban_rest(plain[:2] + '00' + account):02d}{account}", str.isalnum)
+        if kind == "street":
+            word = next(m for m in re.finditer(r"(?:" + "|".join((*STREETS, *STREETS_DE)) + r")(?=$| \d)", value))
+            head, tail = value[: word.start()], value[word.end() :]
+            new = self.shape(head + tail, "street|" + word[0])
+            return new[: len(head)] + word[0] + new[len(head) :]
         if kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value):
-            return recase(value, self.shape(value.lower(), "hex", (HEX,)))
+            return recase(value, self.shape(value.lower(), "hex", HEX_DIGITS))
         if kind.startswith("person"):
             first, space, rest = value.partition(" ")
             return self.given(first, kind[-1]) + space + (self.shape(rest, "name") if rest else "")
         return self.shape(value, kind)
 
 
-def fill(form: str, digits: str) -> str:
+def fill(form: str, digits: str, holds=str.isdigit) -> str:
     left = iter(digits)
-    return "".join(next(left) if ch.isdigit() else ch for ch in form)
+    return "".join(next(left) if holds(ch) else ch for ch in form)
 
 
 def recase(form: str, value: str) -> str:
@@ -170,7 +223,9 @@ def normal(kind: str, value: str) -> str:
     """What makes two mentions the same entity."""
     if kind in ("card", "phone", "ssn"):
         return re.sub(r"[^\d+]", "", value)
-    if kind == "email" or (kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value)):
+    if kind == "iban":
+        return value.replace(" ", "")
+    if kind in ("email", "ipv6") or (kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value)):
         return value.lower()
     return value
 
@@ -186,11 +241,11 @@ def _run(permutation: Permutation, text: str) -> tuple[str, list[tuple[str, str,
     return ("".join([*out, text[last:]]) if found else text), found
 
 
-def entities(docs: DataFrame, key: bytes, tweak: int = 0, text: str = "text") -> DataFrame:
+def entities(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """kind, value and surrogate (both normalised), n: the distinct entities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        permutation = Permutation(key, tweak)
+        permutation = Permutation(key)
         for batch in batches:
             rows = [(k, normal(k, v), normal(k, s)) for x in c.as_text(batch.column(0)).to_pylist() for k, v, s in _run(permutation, x)[1]]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["kind", "value", "surrogate"])
@@ -198,26 +253,24 @@ def entities(docs: DataFrame, key: bytes, tweak: int = 0, text: str = "text") ->
     return docs.select(text).mapInArrow(run, "kind string, value string, surrogate string").groupBy("kind", "value", "surrogate").agg(F.count("*").alias("n"))
 
 
-def check(found: DataFrame) -> tuple[int, int]:
-    """(surrogates that stand for several values, values with several surrogates)."""
+def check(found: DataFrame) -> tuple[int, int, int]:
+    """(surrogates that stand for several values, values with several surrogates,
+    values that are their own) among the entities."""
     twice = lambda a, b: found.groupBy("kind", a).agg(F.count_distinct(b).alias("m")).where("m > 1").count()
-    return twice("surrogate", "value"), twice("value", "surrogate")
+    return twice("surrogate", "value"), twice("value", "surrogate"), found.where("value = surrogate").count()
 
 
-def replace(docs: DataFrame, key: bytes = b"change this key", max_tweaks: int = 4, text: str = "text") -> DataFrame:
+def replace(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """docs with surrogates in the text, and the columns n_<type> with the
-    numbers of replaced entities (input columns of these names are replaced)."""
-    for tweak in range(max_tweaks):
-        if check(entities(docs, key, tweak, text)) == (0, 0):
-            break
-    else:
-        raise RuntimeError("surrogates collide under every tweak tried")
+    numbers of replaced entities (input columns of these names are replaced).
+    One pass; the key decides all replacements and must be kept secret."""
+    Permutation(key)  # a missing key fails here, not in a task
     docs = docs.select(*[x for x in docs.columns if x not in {f"n_{k}" for k in TYPES}])
     schema = T.StructType([*docs.schema.fields, *(T.StructField(f"n_{k}", T.LongType()) for k in TYPES)])
     where, names = docs.columns.index(text), schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        permutation = Permutation(key, tweak)
+        permutation = Permutation(key)
         for batch in batches:
             done = [(None, []) if x is None else _run(permutation, x) for x in batch.column(where).to_pylist()]
             columns = list(batch.columns)
