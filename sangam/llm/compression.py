@@ -2,11 +2,12 @@
 
 Two zstandard dictionaries are built, one from good and one from bad labelled
 texts.  A text is compressed with each; the difference of the two sizes over
-their sum, its product with the log length, and the size over the raw length
-(very small for repetitive text) go through a logistic calibration fitted on labelled texts that neither dictionary has seen.
+their sum, the smaller size over the raw length (small for repetitive text), the
+log length, and the second-order terms of these go through a logistic
+calibration, fitted on labelled texts that neither dictionary has seen.
 
-The labelled sample is bounded (`max_docs` documents a class, chosen by a hash
-of doc_id); scoring is one pass over Arrow batches, nothing is shuffled.
+The labelled sample is bounded (`max_docs` documents a class, those of the least
+hashes of doc_id, a top-k without a shuffle); scoring is one pass over Arrow batches, nothing is shuffled.
 
 Defined cases: null and empty texts get the calibrated score of no evidence;
 labels of null are not learned; if a class has no usable text the score is the
@@ -16,20 +17,21 @@ share of label 1; repeated texts get equal scores; other columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
 
 LEVEL = 3
 #: The features of an empty text.
-NOTHING = (1.0, *[0.0] * 6)
+NOTHING = (1.0, *[0.0] * 7)
 
 
 @dataclass
@@ -60,7 +62,8 @@ class Sizes:
             return NOTHING
         g, b = len(self.good.compress(text)), len(self.bad.compress(text))
         difference, ratio, length = (b - g) / (b + g), min(g, b) / len(text), math.log2(len(text)) / 10 - 1
-        return 1.0, 20 * difference, 40 * difference * length, 10 * max(0.0, 0.02 - difference), 20 * max(0.0, 0.3 - ratio), ratio - 0.4, length
+        d, r = 20 * difference, 10 * (ratio - 0.4)
+        return 1.0, d, r, length, 2 * d * length, d * d, r * r, d * r
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -90,13 +93,14 @@ def fit(samples: list[tuple[str, int]], size: int = 112_640) -> Model:
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, max_docs: int, label: str) -> list[tuple[str, int]]:
-    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias(label)).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_docs).select("doc_id", label).collect()
-    of = {r[0]: int(r[1]) for r in picked}
+    of: dict = {}
+    for value in (0, 1):
+        own = labels.where((F.col(label) == value) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+        of |= dict.fromkeys((r[0] for r in own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).collect()), value)
     if not of:
         return []
     rows = docs.where(F.col("doc_id").isin(list(of)) & F.col("text").isNotNull()).select("doc_id", "text").collect()
-    return [(r[1], of[r[0]]) for r in sorted(rows, key=lambda r: (r[0] * 2654435761 % 2**32, r[0], r[1]))]
+    return [(r[1], of[r[0]]) for r in sorted(rows, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1]))]
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = 1500, label: str = "quality") -> Model:
