@@ -85,9 +85,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = urlfilter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, default="")
-    own = urlfilter.judge_urls(judged.where("verdict = ''").select("page_id", F.concat(F.lit("x://"), "host", "path").alias("url")), OWN_URL_RULES)
-    return judged.where("verdict <> ''").unionByName(own.withColumn("rule", F.lit(None).cast("string")))
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, further=OWN_URL_RULES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

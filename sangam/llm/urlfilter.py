@@ -11,8 +11,10 @@ batch are advanced together, one byte position at a time, as numpy rows.
 
 A rule is written host + path, as `example.org/es/`; it fits its host and all
 subdomains when the path starts with the rule's path.  `*` may stand anywhere.
-The longest rule that fits wins.  Canonical form: `.` + host (A-Z
-lower-cased) + path.
+The longest rule that fits wins; rules of the second class (`further`) count
+where none of the first fits, in the same automaton and pass.  Canonical form:
+`.` + host (A-Z lower-cased) + path.  The states of at most `STATE_BYTES` are
+held at once, so that thousands of rules need no more memory than a few.
 
 Defined cases: null, empty, or without `://`: host and path are empty and no
 rule fits; very long URLs are followed to their end; equal rules: the first.
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -39,6 +41,9 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.when(found, lowered).otherwise(""), F.when(found, path).otherwise("")
 
 
+STATE_BYTES = 8 << 20
+
+
 class WildcardAutomaton:
     """All rules as one multiword Shift-And automaton."""
 
@@ -70,6 +75,10 @@ class WildcardAutomaton:
 
     def run(self, texts: pa.Array) -> np.ndarray:
         """One row of flags per text: which rules fit the whole of it."""
+        step = max(1, STATE_BYTES // (8 * self.width))
+        return np.concatenate([np.zeros((0, len(self.ends)), bool), *(self._run(texts.slice(i, step)) for i in range(0, len(texts), step))])
+
+    def _run(self, texts: pa.Array) -> np.ndarray:
         data, offsets = c.buffer_of(texts)
         start, length = offsets[:-1], np.diff(offsets)
         order = np.argsort(-length, kind="stable")
@@ -89,17 +98,19 @@ class WildcardAutomaton:
         return out
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
-    """key, host, path, rule (the longest that fits, or null), verdict."""
-    automaton = WildcardAutomaton([r for r, _ in rules])
-    by_length = sorted(range(len(rules)), key=lambda i: -len(rules[i][0].encode()))
-    names = np.array([rules[i][0] for i in by_length] + [None], object)
-    verdicts = np.array([rules[i][1] for i in by_length] + [default], object)
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id", url: str = "url", default: str = "allow", further: list[tuple[str, str]] = ()) -> DataFrame:
+    """key, host, path, rule (the longest that fits, or null), verdict.  A rule
+    of `further` gives a verdict, but is not named."""
+    every = [*rules, *further]
+    automaton = WildcardAutomaton([r for r, _ in every])
+    order = sorted(range(len(every)), key=lambda i: (i >= len(rules), -len(every[i][0].encode())))
+    names = np.array([every[i][0] if i < len(rules) else None for i in order] + [None], object)
+    verdicts = np.array([every[i][1] for i in order] + [default], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fits = automaton.run(c.as_text(batch.column(3)))[:, by_length]
-            best = np.where(fits.any(axis=1), fits.argmax(axis=1), len(rules)) if len(rules) else np.zeros(len(batch), int)
+            fits = automaton.run(c.as_text(batch.column(3)))[:, order]
+            best = np.where(fits.any(axis=1), fits.argmax(axis=1), len(every)) if every else np.zeros(len(batch), int)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(names[best], pa.string()), pa.array(verdicts[best], pa.string())], names=[key, "host", "path", "rule", "verdict"])
 
     host, path = split_url(F.coalesce(F.col(url), F.lit("")))
@@ -107,3 +118,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_
     split = split.withColumn("canonical", F.when((F.col("host") == "") & (F.col("path") == ""), "").otherwise(F.concat(F.lit("."), "host", "path")))
     kind = dict(split.dtypes)[key]
     return split.mapInArrow(run, f"{key} {kind}, host string, path string, rule string, verdict string")
+
+
+def read_rules(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """Rules of a text file, `verdict host/path` a line; `#` begins a comment."""
+    lines = (r[0].split("#")[0].split() for r in spark.read.text(path).collect())
+    return [(rule, verdict) for verdict, rule in (x for x in lines if x)]
