@@ -1,28 +1,33 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 In DataFrame functions only.  Documents are counted in cells (source, language,
-topic) by their tokens; the cells' weights are raked in turn to the marginal
-targets of each dimension until the largest change is below a tolerance.  A
-document's sampling probability is its cell's factor, scaled.  The scale fixes
-how many tokens are expected: `budget`, or as many as make the probability 1 in
-the largest among the cells with at least `min_share` of the tokens (among all
-cells where none has).  Cells that would need more than 1 then get 1, and what
-they lack is raked over the others until the margins hold (`fill`).  Where they
-cannot be held for that many tokens, the scale is that of the largest factor of
-all cells: fewer tokens, the same margins.  A document is sampled when a hash of
-its doc_id falls below its probability: the same rows on every run, whatever is
-lost and run again.
-
-Cells are few (`max_cells` is checked) and come from one aggregation that
-combines before its shuffle, so hot sources do no harm; documents then meet
-their cell's probability in a broadcast join.  Beyond `max_cells` the join is
-left to Spark.
+topic) by their tokens, and each value of a dimension has a factor; a cell's
+weight is its tokens times the factors of its values.  The factors are raked in
+turn to the marginal targets until the largest miss of a share is below a
+tolerance.  A document's sampling probability is its cell's factor, scaled.  The
+scale fixes how many tokens are expected: `budget`, or as many as make the
+probability 1 in the largest among the cells with at least `min_share` of the
+tokens (among all cells where none has).  Cells that would need more than 1 then
+get 1, and what they lack is raked over the others until the margins hold
+(`fill`).  Where they cannot be held for that many tokens, the scale is that of
+the largest factor of all cells: fewer tokens, the same margins.  A document is
+sampled when a hash of its doc_id falls below its probability: the same rows on
+every run, whatever is lost and run again.
+
+Cells come from one aggregation that combines before its shuffle, and so do the
+margins of each step, so that neither a hot source nor a large number of cells
+meets in one task.  Factors are small tables, of one row a value: up to
+`SMALL` values they travel with the plan, beyond they are checkpointed and the
+joins are left to Spark, and so is the last join beyond `max_cells` cells.
 
 Targets are shares of tokens by value.  Values without a target keep their
 share of the input; targets of values that do not occur are dropped; the rest
-is scaled to 1.  Without a target a dimension is not raked.
+is scaled to 1.  Without a target a dimension is not raked.  Targets that no
+weights can meet (a value that occurs only with others that have none, say) give
+a warning with the largest miss.
 
-Topics come from fixed rules on the text (see `topic_of`).
+Topics come from a function of the text column that the caller may give; the
+default is a few fixed rules (see `topic_of`).
 
 Defined cases: null source, language or text count as the value `(none)`; empty
 texts have no tokens and weight 0 but keep their cell's probability; repeated
@@ -32,19 +37,26 @@ input named like a result column are left out of the result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import copy
+import json
+import warnings
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ready
 
 NONE = "(none)"
 RESULT = ("n_tokens", "cell_source", "cell_lang", "cell_topic", "probability", "draw", "sampled")
+#: Values of a dimension whose factors travel with the plan.
+SMALL = 2_000
 DIMENSIONS = ("cell_source", "cell_lang", "cell_topic")
 
 
 def n_tokens(text: Column) -> Column:
     """Words of a text: runs other than of space and control characters."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[ \t-\r]+|[ \t-\r]+$", "")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[ \t-\r]+"))).cast("long")
 
 
@@ -63,103 +75,136 @@ def topic_of(text: Column) -> Column:
     )
 
 
-def with_cells(docs: DataFrame) -> DataFrame:
+def with_cells(docs: DataFrame, topic: Callable[[Column], Column] = topic_of) -> DataFrame:
     docs = docs.select(*[x for x in docs.columns if x not in RESULT])
     value = lambda x: F.coalesce(F.col(x).cast("string"), F.lit(NONE))
-    return docs.select("*", n_tokens(F.col("text")).alias("n_tokens"), value("source").alias("cell_source"), value("lang").alias("cell_lang"), topic_of(F.col("text")).alias("cell_topic"))
-
-
-def _targets(cells: DataFrame, dimension: str, wanted: dict[str, float]) -> DataFrame:
-    """value -> share, over the values that occur."""
-    total = Window.partitionBy()
-    own = cells.groupBy(F.col(dimension).alias("value")).agg(F.sum("tokens").alias("tokens"))
-    own = own.withColumn("share", F.col("tokens") / F.greatest(F.sum("tokens").over(total), F.lit(1e-9)))
-    given = F.create_map(*[F.lit(x) for pair in wanted.items() for x in (pair[0], float(pair[1]))])
-    own = own.withColumn("given", given[F.col("value")])
-    own = own.withColumn("rest", F.greatest(F.lit(0.0), 1 - F.coalesce(F.sum("given").over(total), F.lit(0.0))) / F.greatest(F.coalesce(F.sum(F.when(F.col("given").isNull(), F.col("share"))).over(total), F.lit(0.0)), F.lit(1e-12)))
-    own = own.withColumn("target", F.coalesce("given", F.col("share") * F.coalesce("rest", F.lit(0.0))))
-    return own.select(F.col("value").alias(dimension), F.coalesce(F.try_divide("target", F.sum("target").over(total)), "share").alias("target"))
-
-
-def _with_targets(cells: DataFrame, targets: dict[str, dict[str, float]]) -> tuple[DataFrame, list[str]]:
-    """cells with `_<dimension>`, the target of its value; the raked dimensions."""
-    wanted = {d: _targets(cells, d, t) for d, t in targets.items() if t}
-    for d, shares in wanted.items():
-        cells = cells.join(shares.withColumnRenamed("target", f"_{d}"), d, "left")
-    return cells, list(wanted)
-
-
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = 30, tolerance: float = 1e-6, checkpoint_every: int = 5) -> DataFrame:
-    """cells (dimensions, tokens) with `factor`: raked over observed weight.
-    Windows stand over the cell table only."""
-    now, wanted = _with_targets(cells, targets)
-    now = now.withColumn("w", F.col("tokens").cast("double")).checkpoint()
-    for i in range(rounds if wanted else 0):
-        before = now.select("*", F.col("w").alias("_before")) if (i + 1) % checkpoint_every == 0 else now
-        now = before
-        for d in wanted:
-            margin, total = F.sum("w").over(Window.partitionBy(d)), F.sum("w").over(Window.partitionBy())
-            now = now.withColumn("w", F.when(margin > 0, F.col("w") * F.col(f"_{d}") * total / margin).otherwise(0.0))
-        if "_before" in now.columns:
-            now = now.checkpoint()
-            change = now.agg(F.max(F.abs(F.col("w") - F.col("_before")) / F.greatest(F.col("_before"), F.lit(1e-9)))).first()[0]
-            now = now.drop("_before")
-            if change is None or change < tolerance:
-                break
-    return now.select(*DIMENSIONS, "tokens", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0).alias("factor"))
-
-
-def fill(raked: DataFrame, targets: dict[str, dict[str, float]], scale: float, expected: float, rounds: int = 40, tolerance: float = 1e-5, checkpoint_every: int = 5) -> DataFrame | None:
-    """raked cells with `probability`, 1 at most: `expected` tokens at the
-    targets' margins, as near as `rake` came to them without the limit, or None
-    if they are not held after all rounds."""
-    now, wanted = _with_targets(raked, targets)
-    now = now.withColumn("w", F.col("tokens") * F.col("factor") * scale).checkpoint()
-
-    def off(weight: Column) -> float:
-        parts = [F.abs(F.sum(weight).over(Window.partitionBy(d)) / expected - F.col(f"_{d}")) for d in wanted]
-        return now.select(F.greatest(F.lit(0.0), *parts).alias("off")).agg(F.max("off")).first()[0]
-
-    taken = F.least(F.col("tokens").cast("double"), F.col("w"))
-    near = off(F.col("w")) + tolerance
-    for i in range(rounds):
-        for d in wanted:
-            margin = F.sum(taken).over(Window.partitionBy(d))
-            now = now.withColumn("w", F.when(margin > 0, F.col("w") * F.col(f"_{d}") * expected / margin).otherwise(0.0))
-        if (i + 1) % checkpoint_every == 0:
-            now = now.checkpoint()
-            if off(taken) <= near:
-                return now.select(*DIMENSIONS, F.when(F.col("tokens") > 0, taken / F.col("tokens")).otherwise(min(1.0, scale)).alias("probability"))
+    return docs.select("*", n_tokens(F.col("text")).alias("n_tokens"), value("source").alias("cell_source"), value("lang").alias("cell_lang"), topic(F.col("text")).alias("cell_topic"))
+
+
+class Factors:
+    """Values of a dimension with their target (a share) and factor: numbers that
+    travel with the plan, or a checkpointed table where there are over SMALL."""
+
+    def __init__(self, dimension: str, table: DataFrame, n_values: int):
+        self.dimension, self.table, self.values = dimension, None, {}
+        if n_values <= SMALL:
+            self.values = {r[dimension]: (r.target, 1.0) for r in table.collect()}
+        else:
+            self.table = table.withColumn("factor", F.lit(1.0)).checkpoint()
+
+    def joined(self, frame: DataFrame) -> DataFrame:
+        return frame if self.table is None else frame.join(self.table.select(self.dimension, F.col("factor").alias(f"_{self.dimension}")), self.dimension)
+
+    def sql(self) -> str:
+        """The factor of a row's value."""
+        if self.table is not None:
+            return f"_{self.dimension}"
+        text = json.dumps({v: f for v, (_, f) in self.values.items()}).replace("\\", "\\\\").replace("'", "\\'")
+        return f"from_json('{text}', 'map<string,double>')[{self.dimension}]"
+
+    def met(self, margin: DataFrame, expected: float) -> float:
+        """Factors scaled from the margins (value, margin) to the targets; how far a share was off."""
+        if self.table is None:
+            found = {r[0]: r[1] or 0.0 for r in margin.collect()}
+            off = max((abs(found.get(v, 0.0) / expected - t) for v, (t, _) in self.values.items()), default=0.0)
+            self.values = {v: (t, f * t * expected / found[v] if found.get(v) else 0.0) for v, (t, f) in self.values.items()}
+            return off
+        factor = F.when(F.col("margin") > 0, F.col("factor") * F.col("target") * expected / F.col("margin")).otherwise(0.0)
+        off = F.abs(F.coalesce("margin", F.lit(0.0)) / expected - F.col("target"))
+        now = self.table.join(margin, self.dimension, "left").select(self.dimension, "target", factor.alias("factor"), off.alias("off")).checkpoint()
+        self.table = now.drop("off")
+        return now.agg(F.max("off")).first()[0] or 0.0
+
+
+def factors(cells: DataFrame, targets: dict[str, dict[str, float]]) -> dict[str, Factors]:
+    """For each dimension with targets: its values with target (a share) and factor 1."""
+    out = {}
+    for d, wanted in targets.items():
+        if not wanted:
+            continue
+        given = F.create_map(*[F.lit(x) for pair in wanted.items() for x in (pair[0], float(pair[1]))])[F.col(d)]
+        own = cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("tokens")).withColumn("given", given)
+        total, fixed, free, n_values = (x or 0.0 for x in own.agg(F.sum("tokens"), F.sum("given"), F.sum(F.when(F.col("given").isNull(), F.col("tokens"))), F.count("*")).first())
+        rest = max(0.0, 1 - fixed) / free if free else 0.0  # for each token of a value without target
+        whole = fixed + rest * free
+        target = F.coalesce("given", F.col("tokens") * rest) / whole if whole else F.col("tokens") / max(total, 1e-9)
+        out[d] = Factors(d, own.select(d, target.alias("target")), n_values)
+    return out
+
+
+def weighted(cells: DataFrame, tables: dict[str, Factors], scale: float = 1.0) -> tuple[DataFrame, str]:
+    """cells, with columns that the factor needs, and the SQL of the factor of a cell."""
+    for table in tables.values():
+        cells = table.joined(cells)
+    return cells, " * ".join([f"cast('{scale!r}' AS double)", *(t.sql() for t in tables.values())])
+
+
+def _round(cells: DataFrame, tables: dict[str, Factors], expected: float, scale: float = 1.0, most: float | None = None) -> float:
+    """Every dimension's factors raked once, in turn; the largest miss of a share
+    that was met.  most: the largest probability that counts."""
+    worst = 0.0
+    for d, table in tables.items():
+        frame, factor = weighted(cells, tables, scale)
+        taken = factor if most is None else f"least(cast({most} AS double), {factor})"
+        worst = max(worst, table.met(frame.groupBy(d).agg(F.expr(f"sum(tokens * {taken})").alias("margin")), expected))
+    return worst
+
+
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = 100, tolerance: float = 1e-6) -> tuple[dict[str, Factors], float]:
+    """The factor tables that meet the targets, and the largest miss that is left."""
+    tables, expected = factors(cells, targets), float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    misses: list[float] = []
+    while tables and expected and len(misses) < rounds and (not misses or misses[-1] > tolerance):
+        misses.append(_round(cells, tables, expected))
+        if len(misses) > 10 and misses[-1] > 0.9 * misses[-10]:  # it comes no nearer
+            break
+    miss = misses[-1] if misses else 0.0
+    if miss > 1e-3:
+        warnings.warn(f"the targets cannot all be met: a share is off by {miss:.4f}", stacklevel=2)
+    return tables, miss
+
+
+def fill(cells: DataFrame, tables: dict[str, Factors], scale: float, expected: float, near: float, rounds: int = 40) -> DataFrame | None:
+    """cells with `probability`, 1 at most: `expected` tokens at the targets'
+    margins, up to `near`, or None if they are not held after all rounds."""
+    tables = {d: copy.copy(t) for d, t in tables.items()}
+    for _ in range(rounds):
+        if _round(cells, tables, expected, scale, 1.0) <= near:
+            frame, factor = weighted(cells, tables, scale)
+            return frame.select(*DIMENSIONS, F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.expr(factor))).otherwise(min(1.0, scale)).alias("probability"))
     return None
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]], budget: float | None = None, seed: int = 17, max_cells: int = 20_000, min_share: float = 0.001) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]], budget: float | None = None, seed: int = 17, max_cells: int = 20_000, min_share: float = 0.001, topic: Callable[[Column], Column] = topic_of) -> DataFrame:
     """docs with n_tokens, the cell, probability, draw (a hash of doc_id in
     [0, 1)) and sampled.  targets: by dimension (source, lang, topic)."""
     ready(docs.sparkSession)
-    cells_of = with_cells(docs)
+    cells_of = with_cells(docs, topic)
     cells = cells_of.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")).checkpoint()
-    targets = {f"cell_{d}": t for d, t in targets.items()}
-    raked = rake(cells, targets)
+    n_cells, total = cells.agg(F.count("*"), F.sum("tokens")).first()
+    if n_cells <= max_cells:  # few rows: a step is one task
+        cells = cells.coalesce(1).checkpoint()
+    tables, miss = rake(cells, {f"cell_{d}": t for d, t in targets.items()})
+    frame, factor = weighted(cells, tables)
+    raked = frame.select(*DIMENSIONS, "tokens", F.expr(factor).alias("factor"))
     held = F.when(F.col("tokens") > 0, F.col("factor"))
-    large = F.when(F.col("tokens") >= min_share * F.sum("tokens").over(Window.partitionBy()), held)
-    sums = raked.select((F.col("factor") * F.col("tokens")).alias("weight"), held.alias("held"), large.alias("large"))
-    weight, most, most_large = sums.agg(F.sum("weight"), F.max("held"), F.max("large")).first()
+    large = F.when(F.col("tokens") >= min_share * (total or 0), held)
+    weight, most, most_large = raked.agg(F.sum(F.col("tokens") * F.col("factor")), F.max(held), F.max(large)).first()
     whole = 1.0 / max(most or 0.0, 1e-12)
     scale = 1.0 / max(most_large or most or 0.0, 1e-12) if budget is None else budget / max(weight or 0.0, 1e-12)
     rates = None
-    if most and scale > whole * (1 + 1e-9) and any(targets.values()):
-        rates = fill(raked, targets, scale, scale * weight)
+    if most and scale > whole * (1 + 1e-9) and tables:
+        rates = fill(cells, tables, scale, scale * weight, miss + 1e-5)
         scale = whole
     if rates is None:
-        rates = raked.select(*DIMENSIONS, F.least(F.lit(1.0), F.col("factor") * scale).alias("probability"))
+        rates = raked.select(*DIMENSIONS, F.least(F.lit(1.0), F.when(F.col("tokens") > 0, F.col("factor")).otherwise(1.0) * scale).alias("probability"))
     rates = rates.checkpoint()
-    rates = F.broadcast(rates) if rates.count() <= max_cells else rates
+    rates = F.broadcast(rates) if n_cells <= max_cells else rates
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     return cells_of.join(rates, list(DIMENSIONS)).select(*[x for x in cells_of.columns], "probability", draw.alias("draw"), (draw < F.col("probability")).alias("sampled"))
 
 
-def sample(docs: DataFrame, targets: dict[str, dict[str, float]], budget: float | None = None, seed: int = 17) -> DataFrame:
+def sample(docs: DataFrame, targets: dict[str, dict[str, float]], budget: float | None = None, seed: int = 17, topic: Callable[[Column], Column] = topic_of) -> DataFrame:
     """The sampled documents; columns as they came."""
-    mixed = mix(docs.withColumn("_all", F.struct(*docs.columns)), targets, budget, seed)
+    mixed = mix(docs.withColumn("_all", F.struct(*docs.columns)), targets, budget, seed, topic=topic)
     return mixed.where("sampled").select("_all.*")
