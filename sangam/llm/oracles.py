@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from .quality import BOILERPLATE
-
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 op1_suffix_dedup = """
@@ -22,12 +20,8 @@ SELECT d.doc_id, CAST(len(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0
 FROM d LEFT JOIN m ON m.doc_id = d.doc_id
 """
 
-_PHRASES = " OR ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)
+_PHRASES = " OR ".join(f"contains(lower(x), '{p}')" for p in ("licensed under", "all rights reserved", "copyright", "cookie", "privacy policy", "terms of use", "terms of service", "click here", "subscribe to our", "javascript"))
 _SEVERAL = r"regexp_matches(x, '^[ \x09-\x0D]*[^ \x09-\x0D]+([ \x09-\x0D]+[^ \x09-\x0D]+){3}')"
-_LINE = r"regexp_extract_all(x, '[^\x20\x09-\x0D]+')"
-_RUNS = f"list_filter(range(1, len({_LINE}) - 2), lambda i: {_LINE}[i] = {_LINE}[i + 1] AND {_LINE}[i] = {_LINE}[i + 2] AND {_LINE}[i] = {_LINE}[i + 3])"
-_STUTTER = f"coalesce(list_max({_RUNS}) - list_min({_RUNS}) >= 4, FALSE)"
-
 op2_quality_rules = rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 d AS MATERIALIZED (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(str_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \x09-\x0D]')) AS l FROM t),
@@ -39,7 +33,7 @@ q AS (SELECT d.doc_id, len(w) AS n_words, len(array_to_string(w, '')) AS word_ch
     len(l) - len(list_distinct(l)) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, l,
     list_filter(l, lambda x: NOT (({_PHRASES}) OR len(regexp_replace(x, '[^|>]', '', 'g')) >= 3 OR len(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) * 20 > len(x)
       OR (NOT regexp_matches(x, '\p{{Ll}}') AND regexp_matches(x, '\p{{Lu}}') AND {_SEVERAL})
-      OR (NOT regexp_matches(x, '[.!?:;…。！？]([ \x09-\x0D»”"'')\]]|$)') AND {_SEVERAL}) OR {_STUTTER})) AS good
+      OR (NOT regexp_matches(x, '[.!?:;…。！？]([ \x09-\x0D»”"'')\]]|$)') AND {_SEVERAL}))) AS good
   FROM d LEFT JOIN c ON c.doc_id = d.doc_id),
 v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, CAST(coalesce(list_sum(list_transform(l, lambda x: len(x))), 0) AS BIGINT) AS chars, CAST(coalesce(list_sum(list_transform(good, lambda x: len(x))), 0) AS BIGINT) AS chars_kept FROM q)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,

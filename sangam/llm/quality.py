@@ -2,7 +2,7 @@
 
 Every line is judged by punctuation, navigation and boilerplate rules (a line of
 several words without any sentence end, with navigation bars, symbols, capitals
-only, stuttering words or boilerplate phrases fails); lines that fail are removed, and a document that loses too much text is rejected, as
+only, or boilerplate phrases fails); lines that fail are removed, and a document that loses too much text is rejected, as
 is one that fails the base counts.  One pass over each row, nothing shuffled.
 
 Defined cases: null or empty texts have no words and fail the base; blank
@@ -19,9 +19,6 @@ from pyspark.sql import functions as F
 BOILERPLATE = ("licensed under", "all rights reserved", "copyright", "cookie", "privacy policy", "terms of use", "terms of service", "click here", "subscribe to our", "javascript")
 SPACE = "[ \\t-\\r]+"
 SYMBOLS = "#*$%&|<>"
-#: Two runs of the same word four times.
-_RUN = r"([^ \t-\r]+)(?:[ \t-\r]+\%d){3}"
-STUTTER = r"(?:^|[ \t-\r])" + _RUN % 1 + r"[ \t-\r](?:.*[ \t-\r])?" + _RUN % 2 + r"(?:[ \t-\r]|$)"
 RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines", "n_lines_removed", "chars", "chars_kept", "kept", "clean_text")
 
 
@@ -36,11 +33,10 @@ def line_passes(line: Column, plain: bool = False) -> Column:
     symbols = (F.size(F.split(line, f"[{SYMBOLS}]", -1)) - 1) * 20 > F.char_length(line)
     several_words = line.rlike(r"^[ \t-\r]*[^ \t-\r]+([ \t-\r]+[^ \t-\r]+){3}")
     unfinished = several_words & ~line.rlike(r"[.!?:;…。！？]([ \t-\r»”\"')\]]|$)")
-    stuttering = line.rlike(STUTTER)
     shouting = ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}") & several_words
     if plain:
-        return ~(shouting | unfinished | stuttering)
-    return ~(boilerplate | navigation | symbols | shouting | unfinished | stuttering)
+        return ~(shouting | unfinished)
+    return ~(boilerplate | navigation | symbols | shouting | unfinished)
 
 
 def base_counts(docs: DataFrame, text: str = "text", window: int = 8) -> DataFrame:
