@@ -1,5 +1,6 @@
 """Quality rules, decontamination, URL filters, language ID, compression, PII, mixing."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sangam.llm import compression, decontaminate, langid, mixing, quality, surrogates, urlfilter
-from sangam.llm.queries import MIX_TARGETS, op4_decontaminate
+from sangam.llm.queries import MIX_TARGETS, op4_decontaminate, op5_pii_surrogates
 
 from .helpers import LOWER, VISIBLE, awkward, prose, table
 
@@ -85,7 +86,7 @@ def test_items_without_id_count(spark, tmp_path):
     table(spark, [a + " tail", b, a + " " + b, prose(13, 30)]).write.parquet(str(tmp_path / "documents.parquet"))
     items = [(None, a), (None, b), (7, b), (10, b)]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    sha = [decontaminate.digest(x) for x in ([], ["7", "10"], ["7", "10"], [])]
+    sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in ([], ["7", "10"], ["7", "10"], [])]
     got = sorted(op4_decontaminate(spark, str(tmp_path)).collect())
     assert [tuple(r) for r in got] == [(0, 41, 40, 1, sha[0], True), (1, 15, 15, 3, sha[1], True), (2, 55, 55, 3, sha[2], True), (3, 30, 0, 0, sha[3], False)]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -175,6 +176,38 @@ def test_forward_backward_equals_enumeration():
         assert np.allclose(got[a:b], total / total.sum(axis=1, keepdims=True), atol=1e-4)
 
 
+def test_gradient_of_the_chain_likelihood():
+    """Transition and word gradients (gold minus expected) against finite differences of the log-likelihood."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    score, t, s, gold = rng.normal(size=(7, 2)), rng.normal(size=(2, 2)), rng.normal(size=2), rng.integers(0, 2, 7)
+    chains = [(0, 3), (3, 4), (4, 7)]
+
+    def likelihood(score, t):
+        total = 0.0
+        for a, b in chains:
+            of = lambda path: s[path[0]] + sum(score[a + i, y] for i, y in enumerate(path)) + sum(t[x, y] for x, y in zip(path, path[1:], strict=False))  # noqa: B023, E731
+            total += of(gold[a:b]) - np.log(sum(np.exp(of(path)) for path in itertools.product(range(2), repeat=b - a)))
+        return total
+
+    gamma, joint = langid.expectations(score.astype(np.float32), np.array([0, 3, 4, 7]), t, s)
+    want = np.zeros((2, 2))
+    for a, b in chains:
+        np.add.at(want, (gold[a : b - 1], gold[a + 1 : b]), 1)
+    h = 1e-4
+    for i, j in itertools.product(range(2), repeat=2):
+        step = np.zeros((2, 2))
+        step[i, j] = h
+        assert (likelihood(score, t + step) - likelihood(score, t - step)) / (2 * h) == pytest.approx(want[i, j] - joint[i, j], abs=1e-3)
+    for i in range(7):
+        step = np.zeros((7, 2))
+        step[i, 1] = h
+        assert (likelihood(score + step, t) - likelihood(score - step, t)) / (2 * h) == pytest.approx(float(gold[i] == 1) - gamma[i, 1], abs=1e-3)
+
+
 def test_language_id_without_labels(spark):
     docs = table(spark, ["some text", None], [None, None])
     assert {r.lang_pred for r in langid.identify(docs, langid.train(docs)).collect()} == {"und"}
@@ -200,7 +233,7 @@ def test_surrogates_keep_type_format_and_identity(spark):
     other = PII.replace("ann.lee", "bob.lee").replace("7713", "7714")
     rows = {r.doc_id: r for r in surrogates.replace(table(spark, [PII, PII, other, None, "", "plain text 12"]), b"k").collect()}
     assert rows[0].text == rows[1].text and len(rows[0].text) in range(len(PII) - 8, len(PII) + 9)
-    assert [rows[0][f"n_{k}"] for k in surrogates.TYPES] == [2, 1, 1, 1, 1, 1, 2]
+    assert [rows[0][f"n_{k}"] for k in surrogates.TYPES] == [2, 1, 1, 1, 1, 1, 2, 0, 0, 0]
     assert (rows[3].text, rows[4].text, rows[5].text) == (None, "", "plain text 12")
     before, after = ([(k, t[a:b]) for a, b, k in surrogates.find(t)] for t in (PII, rows[0].text))
     assert [k for k, _ in before] == [k for k, _ in after]
@@ -214,17 +247,70 @@ def test_surrogates_keep_type_format_and_identity(spark):
     assert new[6].split()[0] in names["latin", "f"] and new[7].split()[0] in names["cyrillic", "m"]
     assert rows[2].text != rows[0].text
     found = surrogates.entities(table(spark, [PII, other]), b"k")
-    assert surrogates.check(found) == (0, 0)
+    assert surrogates.check(found) == (0, 0, 0)
     assert surrogates.Permutation(b"k").of("ip", "1.2.3.4") != surrogates.Permutation(b"other").of("ip", "1.2.3.4")
 
 
 def test_permutations_are_one_to_one():
-    p = surrogates.Permutation(b"key", 3)
+    p = surrogates.Permutation(b"key")
     for size in (1, 2, 7, 100, 676):
-        assert sorted(p.number(x, size, "t") for x in range(size)) == list(range(size))
+        new = [p.number(x, size, "t") for x in range(size)]
+        assert sorted(new) == list(range(size)) and (size == 1 or all(x != y for x, y in enumerate(new)))
     assert len({p.shape(f"{a}{b}-{c}", "t") for a in "abc" for b in "XYZ" for c in range(10)}) == 90
 
 
+MORE_PII = "Maria Lopez wrote to Иван Петров of 12 Old Mill Road and Lindenstraße 5. Pay DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432, not DE00 3704 0044 0532 0130 00. Hosts 2001:db8::8a2e:370:7334 and 2001:0db8:85a3:0000:0000:8a2e:0370:7334 at 12:30:45."
+
+
+def test_surrogates_of_names_accounts_addresses():
+    p = surrogates.Permutation(b"k")
+    found = [(MORE_PII[a:b], kind) for a, b, kind in surrogates.find(MORE_PII)]
+    assert found == [("Maria Lopez", "person:f"), ("Иван Петров", "person:m"), ("12 Old Mill Road", "street"), ("Lindenstraße 5", "street"), ("DE89 3704 0044 0532 0130 00", "iban"), ("GB82WEST12345698765432", "iban"), ("3704 0044 0532 0130 00", "card"), ("2001:db8::8a2e:370:7334", "ipv6"), ("2001:0db8:85a3:0000:0000:8a2e:0370:7334", "ipv6")]
+    new, again = surrogates._run(p, MORE_PII)
+    assert [k for _, _, k in surrogates.find(new)] == [k for _, k in found]
+    assert all(a != b for _, a, b in again) and surrogates.iban_rest(again[4][2]) == 1 == surrogates.iban_rest(again[5][2])
+    assert again[2][2].endswith(" Road") and "straße " in again[3][2]
+
+
+@pytest.mark.parametrize("key", [b"query key", b"k", b"another one", b"\x00"])
+def test_no_given_name_and_no_value_is_its_own(key):
+    """Every known name, and all values of small forms: new, distinct, of the same kind."""
+    p = surrogates.Permutation(key)
+    for (_, gender), names in surrogates.GIVEN.items():
+        new = [p.given(x, gender) for x in names]
+        assert sorted(new) == sorted(names) and all(a != b for a, b in zip(names, new, strict=True))
+    values = [f"{a}{b}" for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "abcdefghijklmnopqrstuvwxyz"]
+    assert sorted(p.given(x, "m") for x in values) == values
+    assert all(p.shape(x, "t") != x and len(p.shape(x, "t")) == len(x) for x in ("李明", "José", "שלום", "한국", "7", "Ü"))
+    with pytest.raises(ValueError):
+        surrogates.Permutation(b"")
+
+
+def brute_surrogates(text, key):
+    """Each entity by itself, the numbering enumerated: what stands `step` behind it."""
+    p, out, last = surrogates.Permutation(key), [], 0
+    for a, b, kind in surrogates.find(text):
+        value = text[a:b]
+        if kind == "ssn":
+            digits = int(value.replace("-", ""))
+            size, label = 10**9, "ssn|000-00-0000"
+            step = 1 + p._hash(f"{label}|{size}|step", size - 1)
+            new = f"{p._walk((p._walk(digits, size, label, -1) + step) % size, size, label, 1):09d}"
+            value = f"{new[:3]}-{new[3:5]}-{new[5:]}"
+        else:
+            value = p._of(kind, value)
+        out += [text[last:a], value]
+        last = b
+    return "".join([*out, text[last:]])
+
+
+def test_pii_query_equals_one_text_at_a_time(spark, tmp_path):
+    texts = [PII, MORE_PII, None, "", "none here", PII + " " + MORE_PII * 300]
+    table(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.text for r in op5_pii_surrogates(spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else brute_surrogates(t, b"query key") for i, t in enumerate(texts)}
+
+
 def test_raking_reaches_the_margins(spark):
     texts, langs, sources = [], [], []
     for i in range(600):

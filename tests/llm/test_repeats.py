@@ -36,18 +36,32 @@ def test_suffix_dedup_of_nothing(spark):
     assert [bytes(r.kept) for r in kept] == [b"short", b""]
 
 
-def test_index_family_keeps_the_least():
+def test_suffix_index_finds_the_least_document_of_each_window():
+    """Slices through the family against a dictionary of windows; levels as the bits of their number."""
     import numpy as np
 
-    family, least = suffixdedup.IndexFamily(), {}
     rng = np.random.default_rng(3)
-    for _ in range(13):
-        keys, docs = rng.integers(0, 50, 40).astype(np.uint64), rng.integers(0, 900, 40)
-        family.add(keys, docs)
-        for k, d in zip(keys.tolist(), docs.tolist(), strict=True):
-            least[k] = min(d, least.get(k, d))
-    assert len(family.levels) == 3  # 13 = 8 + 4 + 1
-    assert family.least(np.arange(50, dtype=np.uint64)).tolist() == [least.get(k, np.iinfo(np.int64).max) for k in range(50)]
+    length, reach = 30, 6
+    index, least = suffixdedup.SuffixIndex(length), {}
+    motifs = rng.integers(97, 99, (4, length + reach)).astype(np.uint8)
+    for n in range(13):
+        block = motifs[rng.integers(0, 4, 40)].copy()
+        block[np.arange(40), rng.integers(0, 36, 40)] = rng.integers(0, 256, 40)
+        flags = rng.integers(1, 1 << (reach + 1), 40).astype(np.uint32)
+        docs = np.sort(rng.integers(n * 10, n * 10 + 10, 40))
+        new, place = index.array(np.concatenate([block[:, reach:], block[:, reach - 1 :: -1]], axis=1), flags, docs)
+        got = index.scan(new)[place]
+        index.add(new)
+        windows = [[(o, row[reach - o : reach - o + length].tobytes()) for o in range(reach + 1) if f >> o & 1] for row, f in zip(block, flags.tolist(), strict=True)]
+        for d, own in zip(docs.tolist(), windows, strict=True):
+            for w in own:
+                least[w] = min(d, least.get(w, d))
+        for i, own in enumerate(windows):
+            want = {o: least[o, w] for o, w in own}
+            assert got[i].tolist() == [want.get(o, np.iinfo(np.int64).max) for o in range(reach + 1)]
+    assert sorted(index.levels) == [0, 2, 3]  # 13 = 8 + 4 + 1
+    for text, *_ in index.levels.values():
+        assert [x.tobytes() for x in text] == sorted(x.tobytes() for x in text)
 
 
 def brute_jaccard(texts, k, percent):
