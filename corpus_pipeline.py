@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sangam.llm import decontaminate, jaccard, langid, linededup, mixing
+from sangam.llm import common, decontaminate, jaccard, langid, linededup, mixing
 from sangam.llm.queries import MIX_TARGETS
 
 
@@ -52,7 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage.  Every stage before it is written once, in the
+    shared folder, and reread, so that none runs again when the next one reads
+    its input several times."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
