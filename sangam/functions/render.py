@@ -18,8 +18,14 @@ def _plain(value: object) -> object:
 
 
 def render(df: DataFrame, form: str = "table", limit: int = 1000) -> str:
-    """At most `limit` rows; larger results go to files (see transfer)."""
-    rows = [[_plain(v) for v in r] for r in df.limit(limit).collect()]
+    """The rows as text.  A table shows `limit` rows and says if there are more;
+    JSON and CSV are never cut: more than `limit` rows are refused, as they
+    belong in files (see transfer)."""
+    rows = [[_plain(v) for v in r] for r in df.limit(limit + 1).collect()]
+    more = len(rows) > limit
+    if more and form in ("json", "csv"):
+        raise ValueError(f"over {limit} rows: export them, or give a larger limit")
+    rows = rows[:limit]
     if form == "json":
         return json.dumps([dict(zip(df.columns, r, strict=True)) for r in rows], ensure_ascii=False)
     if form == "csv":
@@ -32,4 +38,4 @@ def render(df: DataFrame, form: str = "table", limit: int = 1000) -> str:
     widths = [max(len(c[i]) for c in cells) for i in range(len(df.columns))]
     line = "+" + "+".join("-" * (w + 2) for w in widths) + "+"
     shown = ["|" + "|".join(f" {v:<{w}} " for v, w in zip(c, widths, strict=True)) + "|" for c in cells]
-    return "\n".join([line, shown[0], line, *shown[1:], line, f"{len(rows)} row(s)"])
+    return "\n".join([line, shown[0], line, *shown[1:], line, f"first {len(rows)} rows, there are more" if more else f"{len(rows)} row(s)"])

@@ -5,8 +5,9 @@ from __future__ import annotations
 import copy
 import json
 import warnings
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,14 +32,23 @@ def coerce(value: object, kind: T.DataType) -> object:
     return value
 
 
-def create_table(catalog: Catalog, name: str, columns: list[tuple[str, str, dict]]) -> None:
-    """columns: (name, Spark type, options pk / not_null / unique / default)."""
+def create_table(catalog: Catalog, name: str, columns: list[tuple[str, str, dict]], key: list[str] | None = None) -> None:
+    """columns: (name, Spark type, options pk / not_null / unique / default);
+    key: the columns of a primary key of several."""
     names = [c.lower() for c, _, _ in columns]
     if len(set(names)) != len(names) or not names:
         raise CatalogError(f"{name}: columns must be named once each")
     schema = T.StructType([T.StructField(c, T._parse_datatype_string(k)) for c, k, _ in columns])
-    pk = next((c for c, _, o in columns if o.get("pk")), columns[0][0])
-    catalog.create(name, Table(json.loads(schema.json()), pk=pk, unique=[c for c, _, o in columns if o.get("unique")], not_null=[c for c, _, o in columns if o.get("not_null")], defaults={c: o["default"] for c, _, o in columns if "default" in o}))
+    pk = None if key else next((c for c, _, o in columns if o.get("pk")), columns[0][0])
+    if key:
+        key = [_column(names, [c for c, _, _ in columns], name, k) for k in key]
+    catalog.create(name, Table(json.loads(schema.json()), pk=pk, keys=[key] if key else [], unique=[c for c, _, o in columns if o.get("unique")], not_null=[c for c, _, o in columns if o.get("not_null") or c in (key or [])], defaults={c: o["default"] for c, _, o in columns if "default" in o}))
+
+
+def _column(lower: list[str], names: list[str], table: str, column: str) -> str:
+    if column.lower() not in lower:
+        raise CatalogError(f"{table} has no column {column}")
+    return names[lower.index(column.lower())]
 
 
 def insert_values(catalog: Catalog, name: str, rows: list[list[object]], columns: list[str] | None = None) -> DataFrame:
@@ -49,7 +59,7 @@ def insert_values(catalog: Catalog, name: str, rows: list[list[object]], columns
     given = [c.lower() for c in columns] if columns else [f.name.lower() for f in struct.fields]
     if unknown := [c for c in given if c not in fields]:
         raise CatalogError(f"{name} has no column {unknown[0]}")
-    keys = {table.pk.lower(), *(u.lower() for u in table.unique)} if table.pk else {u.lower() for u in table.unique}
+    keys = [tuple(c.lower() for c in own) for own in table.unique_sets()]
     sequence, ready = table.sequence, []
     for row in rows:
         if len(row) != len(given):
@@ -68,18 +78,20 @@ def insert_values(catalog: Catalog, name: str, rows: list[list[object]], columns
                 raise CatalogError(f"{name}.{f.name} must not be null")
         ready.append(tuple(own[f.name.lower()] for f in struct.fields))
     names = [f.name.lower() for f in struct.fields]
-    taken: dict[str, set] = {}
+    of = lambda r, key: tuple(r[names.index(c)] for c in key)
+    taken: dict[tuple, set] = {}
     present = catalog.frame(name)
     for key in keys:
-        values = list({r[names.index(key)] for r in ready if r[names.index(key)] is not None})
-        taken[key] = {x[0] for x in present.where(F.col(key).isin(values)).select(key).collect()} if values else set()
+        first = list({of(r, key)[0] for r in ready if None not in of(r, key)})
+        taken[key] = {tuple(x) for x in present.where(F.col(key[0]).isin(first)).select(*key).collect()} if first else set()
     kept = []
     for r in ready:
-        if clash := next((k for k in keys if r[names.index(k)] in taken[k] and r[names.index(k)] is not None), None):
-            warnings.warn(f"{name}: a row with {clash} = {r[names.index(clash)]} exists, skipped", stacklevel=2)
+        # a key with a null in it is never equal to another
+        if clash := next((k for k in keys if of(r, k) in taken[k] and None not in of(r, k)), None):
+            warnings.warn(f"{name}: a row with {', '.join(clash)} = {', '.join(map(str, of(r, clash)))} exists, skipped", stacklevel=2)
             continue
         for k in keys:
-            taken[k].add(r[names.index(k)])
+            taken[k].add(of(r, k))
         kept.append(r)
     if kept:
         new = catalog.spark.createDataFrame(kept, struct)
@@ -96,10 +108,16 @@ def insert_frame(catalog: Catalog, name: str, rows: DataFrame) -> DataFrame:
     if len(rows.columns) != len(struct.fields):
         raise CatalogError(f"{name}: {len(rows.columns)} columns for {len(struct.fields)}")
     typed = rows.toDF(*struct.names).select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in struct.fields])
-    if table.pk:
-        order = Window.partitionBy(table.pk).orderBy(F.monotonically_increasing_id())
-        typed = typed.withColumn("_n", F.row_number().over(order)).where(F.col(table.pk).isNull() | (F.col("_n") == 1)).drop("_n")
-        typed = typed.join(catalog.frame(name).select(table.pk), table.pk, "left_anti").select(*struct.names)
+    check_not_null(name, table, typed)
+    sets = table.unique_sets()
+    if sets:  # the order of the rows decides which of a key comes first
+        typed = typed.withColumn("_at", F.monotonically_increasing_id())
+    for key in sets:
+        order = Window.partitionBy(*key).orderBy("_at")
+        some_null = reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNull() for c in key])
+        typed = typed.withColumn("_n", F.row_number().over(order)).where(some_null | (F.col("_n") == 1)).drop("_n")
+        typed = typed.join(catalog.frame(name).select(*key), key, "left_anti").select(*struct.names, "_at")
+    typed = typed.select(*struct.names)
     check_references(catalog, table, typed)
     catalog.write(name, typed, append=True)
     new = catalog.spark.read.schema(struct).parquet(catalog.get(name).paths[-1])
@@ -110,6 +128,14 @@ def insert_frame(catalog: Catalog, name: str, rows: DataFrame) -> DataFrame:
     return catalog.spark.createDataFrame([(n,)], "inserted long")
 
 
+def check_not_null(name: str, table: Table, rows: DataFrame) -> None:
+    """One pass over the rows, and none where no column is NOT NULL."""
+    if table.not_null:
+        nulls = rows.agg(*[F.max(F.col(f"`{c}`").isNull()).alias(c) for c in table.not_null]).first()
+        if bad := next((c for c in table.not_null if nulls[c]), None):
+            raise CatalogError(f"{name}.{bad} must not be null")
+
+
 def check_references(catalog: Catalog, table: Table, rows: DataFrame) -> None:
     for label, fk in table.foreign_keys.items():
         parent = catalog.frame(fk["table"]).select(F.col(fk["ref"]).alias(fk["column"]))
@@ -126,38 +152,77 @@ def update(catalog: Catalog, name: str, changes: dict[str, str], where: str | No
     hit = F.coalesce(F.expr(where), F.lit(False)) if where else F.lit(True)
     new = {fields[c.lower()].name: F.expr(e).cast(fields[c.lower()].dataType) for c, e in changes.items()}
     changed = frame.withColumn("_hit", hit).select(*[F.when(F.col("_hit"), new[f.name]).otherwise(F.col(f"`{f.name}`")).alias(f.name) if f.name in new else F.col(f"`{f.name}`") for f in table.struct.fields])
-    for key in {table.pk, *table.unique} & set(new):
-        if not changed.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
-            raise CatalogError(f"{name}.{key} would no longer be unique")
+    for key in table.unique_sets():
+        if set(key) & set(new) and not changed.dropna(subset=key).groupBy(*key).count().where("count > 1").isEmpty():
+            raise CatalogError(f"{name}.{', '.join(key)} would no longer be unique")
+    if set(table.not_null) & set(new):
+        check_not_null(name, table, changed)
     if {fk["column"] for fk in table.foreign_keys.values()} & set(new):
         check_references(catalog, table, changed)
     n = frame.where(hit).count()
     if n:
+        children = _follow_keys(catalog, name, frame, changed, hit, new)
         catalog.write(name, changed)
+        for child, rows in children.items():
+            catalog.write(child, rows)
     return catalog.spark.createDataFrame([(n,)], "updated long")
 
 
+def _children(catalog: Catalog, name: str) -> list[tuple[str, Table, str, dict]]:
+    return [(child, t, label, fk) for child, t in catalog.tables().items() for label, fk in t.foreign_keys.items() if fk["table"] == name.lower()]
+
+
+def _follow_keys(catalog: Catalog, name: str, frame: DataFrame, changed: DataFrame, hit: Column, new: dict[str, Column]) -> dict[str, DataFrame]:
+    """The tables that refer to changed keys, with the new keys (CASCADE);
+    RESTRICT refuses if a row would refer to none."""
+    out: dict[str, DataFrame] = {}
+    for child, t, label, fk in _children(catalog, name):
+        if fk["ref"] not in new:
+            continue
+        own = fk["column"]
+        rows = out.get(child, catalog.frame(child))
+        moved = frame.where(hit).select(F.col(fk["ref"]).alias(own), new[fk["ref"]].alias("_new")).where(~F.col("_new").eqNullSafe(F.col(own)) & F.col(own).isNotNull())
+        if fk["on_update"] == "CASCADE":
+            moved = moved.withColumn("_moved", F.lit(True))
+            value = F.when(F.col("_moved"), F.col("_new")).otherwise(F.col(f"`{own}`"))
+            out[child] = rows.join(moved, own, "left").withColumn(own, value).select(*t.struct.names)
+            if any(x["ref"] == own for _, _, _, x in _children(catalog, child)):
+                raise CatalogError(f"{label}: {child}.{own} is referred to itself, update it first")
+        elif not rows.join(moved, own, "left_semi").join(changed.select(F.col(fk["ref"]).alias(own)), own, "left_anti").isEmpty():
+            raise CatalogError(f"{label}: rows of {child} refer to {name}")
+    return out
+
+
 def delete(catalog: Catalog, name: str, where: str | None) -> DataFrame:
-    """Rows whose predicate is true go, those where it is unknown stay."""
+    """Rows whose predicate is true go, those where it is unknown stay.  All
+    tables down the cascade are judged before any is written."""
     frame = catalog.frame(name)
     catalog.get(name)
     hit = F.coalesce(F.expr(where), F.lit(False)) if where else F.lit(True)
     gone = frame.where(hit)
     n = gone.count()
     if n:
-        for child, t in list(catalog.tables().items()):
-            for label, fk in t.foreign_keys.items():
-                if fk["table"] == name.lower():
-                    keys = gone.select(F.col(fk["ref"]).alias(fk["column"]))
-                    orphans = catalog.frame(child).join(keys, fk["column"], "left_semi")
-                    if not orphans.isEmpty():
-                        if fk["on_delete"] != "CASCADE":
-                            raise CatalogError(f"{label}: rows of {child} refer to {name}")
-                        catalog.write(child, catalog.frame(child).join(keys, fk["column"], "left_anti").select(*t.struct.names))
-        catalog.write(name, frame.where(~hit))
+        left = {name.lower(): frame.where(~hit)}
+        _cascade(catalog, name.lower(), gone, left)
+        for table, rows in left.items():
+            catalog.write(table, rows)
     return catalog.spark.createDataFrame([(n,)], "deleted long")
 
 
+def _cascade(catalog: Catalog, name: str, gone: DataFrame, left: dict[str, DataFrame]) -> None:
+    """What is left of the tables that refer to the rows that go, and so on below."""
+    for child, t, label, fk in _children(catalog, name):
+        rows = left.get(child, catalog.frame(child))
+        keys = gone.select(F.col(fk["ref"]).alias(fk["column"])).dropna().distinct()
+        orphans = rows.join(keys, fk["column"], "left_semi").select(*t.struct.names)
+        if orphans.isEmpty():
+            continue
+        if fk["on_delete"] != "CASCADE":
+            raise CatalogError(f"{label}: rows of {child} refer to {name}")
+        left[child] = rows.join(keys, fk["column"], "left_anti").select(*t.struct.names)
+        _cascade(catalog, child, orphans, left)
+
+
 def rewrite(catalog: Catalog, name: str, frame: DataFrame, **changes: object) -> None:
     catalog.write(name, frame)
     if changes:
@@ -178,9 +243,9 @@ def add_column(catalog: Catalog, name: str, column: str, kind: str, options: dic
 def drop_column(catalog: Catalog, name: str, column: str) -> None:
     table = catalog.get(name)
     own = _named(table, name, column)
-    if own == table.pk:
+    if own == table.pk or any(own in k for k in table.keys):
         raise CatalogError(f"{name}.{column} is the key")
-    rewrite(catalog, name, catalog.frame(name).drop(own), not_null=[c for c in table.not_null if c != own], unique=[c for c in table.unique if c != own], defaults={k: v for k, v in table.defaults.items() if k != own}, foreign_keys={k: v for k, v in table.foreign_keys.items() if v["column"] != own}, indexes={k: v for k, v in table.indexes.items() if own not in v["columns"]})
+    rewrite(catalog, name, catalog.frame(name).drop(own), not_null=[c for c in table.not_null if c != own], unique=[c for c in table.unique if c != own], defaults={k: v for k, v in table.defaults.items() if k != own}, foreign_keys={k: v for k, v in table.foreign_keys.items() if v["column"] != own}, indexes={k: v for k, v in table.indexes.items() if own not in v["columns"]}, keys=[k for k in table.keys if own not in k])
 
 
 def _named(table: Table, name: str, column: str) -> str:
@@ -200,7 +265,7 @@ def rename_column(catalog: Catalog, name: str, old: str, new: str) -> None:
     for fk in foreign.values():
         fk["column"] = swap(fk["column"])
     indexes = {k: v | {"columns": [swap(c) for c in v["columns"]]} for k, v in table.indexes.items()}
-    rewrite(catalog, name, catalog.frame(name).withColumnRenamed(own, new), pk=swap(table.pk) if table.pk else None, not_null=[swap(c) for c in table.not_null], unique=[swap(c) for c in table.unique], defaults={swap(k): v for k, v in table.defaults.items()}, foreign_keys=foreign, indexes=indexes)
+    rewrite(catalog, name, catalog.frame(name).withColumnRenamed(own, new), pk=swap(table.pk) if table.pk else None, not_null=[swap(c) for c in table.not_null], unique=[swap(c) for c in table.unique], defaults={swap(k): v for k, v in table.defaults.items()}, foreign_keys=foreign, indexes=indexes, keys=[[swap(c) for c in k] for k in table.keys])
 
 
 def modify_column(catalog: Catalog, name: str, column: str, kind: str) -> None:

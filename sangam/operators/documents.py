@@ -88,54 +88,73 @@ def resolver(df: DataFrame, json_column: str | None = None) -> Resolver:
     return find
 
 
-def compile_filter(wanted: dict, field: Resolver) -> Column:
-    """A Mongo filter as a predicate; missing fields and other types do not match."""
+def compile_filter(wanted: dict, field: Resolver, exact: bool = False) -> Column:
+    """A Mongo filter as a predicate; missing fields and other types do not match.
+    Plain comparisons reach the scan; exact: never null (needed where the
+    predicate is negated), which a scan cannot use."""
     parts = []
     for key, value in wanted.items():
         if key in ("$and", "$or", "$nor"):
-            inner = [compile_filter(x, field) for x in value]
+            inner = [compile_filter(x, field, exact or key == "$nor") for x in value]
             joined = reduce(lambda a, b: a & b if key == "$and" else a | b, inner)
             parts.append(~joined if key == "$nor" else joined)
         elif isinstance(value, dict) and value and all(k.startswith("$") for k in value):
-            parts.append(_operators(field(key), value))
+            parts.append(_operators(field(key), value, exact))
         else:
-            parts.append(_equals(field(key), value))
+            parts.append(_equals(field(key), value, exact))
     return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
 
 
-def _equals(f: Field, value: object) -> Column:
+def _known(test: Column, exact: bool) -> Column:
+    return F.coalesce(test, F.lit(False)) if exact else test
+
+
+def _equals(f: Field, value: object, exact: bool) -> Column:
     if value is None:
         return f.is_null()
     if isinstance(value, dict | list):
         import json
 
-        return F.coalesce(f.text() == json.dumps(value, separators=(",", ":")), F.lit(False))
-    return F.coalesce(f.comparable(value) == F.lit(value), F.lit(False))
+        return _known(f.text() == json.dumps(value, separators=(",", ":")), exact)
+    return _known(f.comparable(value) == F.lit(value), exact)
+
+
+def _differs(f: Field, values: list) -> Column:
+    """Missing, of another type, or another value than each."""
+    parts = []
+    for v in values:
+        if v is None or isinstance(v, dict | list):
+            parts.append(~_equals(f, v, True))
+        else:
+            own = f.comparable(v)
+            parts.append(own.isNull() | (own != F.lit(v)))
+    return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
-def _operators(f: Field, ops: dict) -> Column:
+def _operators(f: Field, ops: dict, exact: bool = False) -> Column:
     compare = {"$gt": Column.__gt__, "$gte": Column.__ge__, "$lt": Column.__lt__, "$lte": Column.__le__}
     parts = []
     for op, value in ops.items():
         if op == "$eq":
-            parts.append(_equals(f, value))
+            parts.append(_equals(f, value, exact))
         elif op == "$ne":
-            parts.append(~_equals(f, value))
+            parts.append(_differs(f, [value]))
         elif op in compare:
-            parts.append(F.coalesce(compare[op](f.comparable(value), F.lit(value)), F.lit(False)))
-        elif op in ("$in", "$nin"):
-            found = reduce(lambda a, b: a | b, [_equals(f, v) for v in value], F.lit(False))
-            parts.append(found if op == "$in" else ~found)
+            parts.append(_known(compare[op](f.comparable(value), F.lit(value)), exact))
+        elif op == "$in":
+            parts.append(reduce(lambda a, b: a | b, [_equals(f, v, exact) for v in value], F.lit(False)))
+        elif op == "$nin":
+            parts.append(_differs(f, value))
         elif op == "$exists":
             parts.append(f.exists() if value else ~f.exists())
         elif op == "$type":
             names = [n for v in (value if isinstance(value, list) else [value]) for n in TYPE_NAMES[v]]
-            parts.append(F.coalesce(f.type_in(names), F.lit(False)))
+            parts.append(_known(f.type_in(names), exact))
         elif op == "$regex":
             flags = ops.get("$options", "")
-            parts.append(F.coalesce(f.comparable("").rlike(("(?" + flags + ")" if flags else "") + value), F.lit(False)))
+            parts.append(_known(f.comparable("").rlike(("(?" + flags + ")" if flags else "") + value), exact))
         elif op == "$not":
-            parts.append(~(_operators(f, value) if isinstance(value, dict) else _equals(f, value)))
+            parts.append(~(_operators(f, value, True) if isinstance(value, dict) else _equals(f, value, True)))
         elif op != "$options":
             raise ValueError(f"unknown operator {op}")
     return reduce(lambda a, b: a & b, parts)

@@ -70,7 +70,7 @@ class Collections:
 
     def delete(self, name: str, wanted: dict, one: bool = False) -> int:
         df = self.frame(name)
-        hit = documents.compile_filter(wanted, documents.resolver(df, "doc"))
+        hit = documents.compile_filter(wanted, documents.resolver(df, "doc"), exact=True)
         if one:
             first = df.where(hit).orderBy("_id").limit(1).select("_id").collect()
             hit = F.col("_id").isin([r[0] for r in first]) if first else F.lit(False)
@@ -81,7 +81,7 @@ class Collections:
 
     def update(self, name: str, wanted: dict, change: dict, one: bool = False) -> int:
         df = self.frame(name)
-        hit = documents.compile_filter(wanted, documents.resolver(df, "doc"))
+        hit = documents.compile_filter(wanted, documents.resolver(df, "doc"), exact=True)
         if one:
             first = df.where(hit).orderBy("_id").limit(1).select("_id").collect()
             hit = F.col("_id").isin([r[0] for r in first]) if first else F.lit(False)
@@ -112,11 +112,9 @@ class Collections:
 
     def aggregate(self, name: str, stages: list[dict]) -> DataFrame:
         def out(target: str, df: DataFrame) -> None:
-            if target.lower() in self.catalog.tables():
-                self.catalog.drop(target)
             now = int(time.time())
             rows = df.select(F.monotonically_increasing_id().cast("string").alias("_id"), F.to_json(F.struct(*df.columns)).alias("doc"), F.lit(1).cast("long").alias("_version"), F.lit(now).cast("long").alias("_created"), F.lit(now).cast("long").alias("_updated"))
-            self.create(target)
-            self.catalog.write(target, rows)
+            self._ensure(target)
+            self.catalog.write(target, rows)  # the old rows go when the new ones are written
 
         return documents.aggregate(self.frame(name), stages, "doc", self.catalog.frame, out)

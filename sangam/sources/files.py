@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -32,15 +35,34 @@ class Files:
         finally:
             stream.close()
 
+    def create(self, path: str, text: str) -> bool:
+        """Whole and only if there is no such file yet, in one step; False if there is."""
+        target, new = self._path(path), self._path(f"{path}.{uuid.uuid4().hex}.new")
+        fs = self._fs(path)
+        stream = fs.create(new, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        try:
+            self._rename(fs, new, target, "NONE")
+        except Py4JJavaError as e:
+            fs.delete(new, False)
+            if "FileAlreadyExists" in str(e.java_exception) or fs.exists(target):
+                return False
+            raise
+        return True
+
     def write(self, path: str, text: str) -> None:
         """Whole or not at all: the new file takes the old one's place in one step."""
         target, new = self._path(path), self._path(path + ".new")
-        stream = self._fs(path).create(new, True)
+        fs = self._fs(path)
+        stream = fs.create(new, True)
         stream.write(bytearray(text.encode()))
         stream.close()
+        self._rename(fs, new, target, "OVERWRITE")
+
+    def _rename(self, fs, old, new, option: str) -> None:
         kind = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
         how = self.gateway.new_array(kind, 1)
-        how[0] = kind.OVERWRITE
-        fs = self._fs(path)
+        how[0] = getattr(kind, option)
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.conf)
-        context.rename(fs.makeQualified(new), fs.makeQualified(target), how)
+        context.rename(fs.makeQualified(old), fs.makeQualified(new), how)

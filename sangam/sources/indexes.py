@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .catalog import Catalog, CatalogError
 
-TYPES = ("BTREE", "HASH", "FULLTEXT", "SPATIAL")
+TYPES = ("BTREE", "HASH")
 
 
 def create_index(catalog: Catalog, table: str, columns: list[str], name: str | None = None, unique: bool = False, kind: str = "BTREE") -> str:
@@ -21,7 +21,7 @@ def create_index(catalog: Catalog, table: str, columns: list[str], name: str | N
     if missing := [c for c in columns if c.lower() not in names]:
         raise CatalogError(f"{table} has no column {missing[0]}")
     if kind.upper() not in TYPES:
-        raise CatalogError(f"unknown index type {kind}")
+        raise CatalogError(f"index type {kind} is not supported: a sorted layout serves {' and '.join(TYPES)} only")
     columns = [names[c.lower()] for c in columns]
     name = name or f"idx_{table.lower()}_{'_'.join(c.lower() for c in columns)}"
     if name in own.indexes:

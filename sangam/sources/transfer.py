@@ -63,13 +63,14 @@ def sql_literal(column: str, kind: T.DataType):
     return F.coalesce(plain, F.lit("NULL"))
 
 
-def sql_dump(catalog: Catalog, name: str) -> DataFrame:
+def sql_dump(catalog: Catalog, name: str, db: str | None = None) -> DataFrame:
     """(n, line): CREATE TABLE, then an INSERT a row."""
-    table = catalog.get(name)
+    table = catalog.tables(db)[name.lower()]
     kinds = {T.LongType: "INT", T.IntegerType: "INT", T.DoubleType: "FLOAT", T.BooleanType: "BOOL"}
     columns = ", ".join(f"{f.name} {kinds.get(type(f.dataType), 'TEXT')}{' PRIMARY KEY' if f.name == table.pk else ''}" for f in table.struct.fields)
+    columns += "".join(f", PRIMARY KEY ({', '.join(k)})" for k in table.keys[:1])
     values = F.concat_ws(", ", *[sql_literal(f.name, f.dataType) for f in table.struct.fields])
-    rows = catalog.frame(name).select(F.lit(1).alias("n"), F.concat(F.lit(f"INSERT INTO {name} VALUES ("), values, F.lit(");")).alias("line"))
+    rows = catalog.frame(name, db).select(F.lit(1).alias("n"), F.concat(F.lit(f"INSERT INTO {name} VALUES ("), values, F.lit(");")).alias("line"))
     head = catalog.spark.createDataFrame([(0, f"CREATE TABLE {name} ({columns});")], "n int, line string")
     return head.unionByName(rows)
 
@@ -85,11 +86,11 @@ def backup(catalog: Catalog, path: str, form: str = "BINARY", db: str | None = N
     for name, t in tables.items():
         frame = catalog.frame(name, db or catalog.current)
         if form == "SQL":
-            sql_dump(catalog, name).orderBy("n").select("line").write.text(f"{path}/{name}")
+            sql_dump(catalog, name, db).orderBy("n").select("line").write.text(f"{path}/{name}")
         else:
             write(frame, f"{path}/{name}", form, compress)
         stat = frame.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(*frame.columns).cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-        manifest["tables"][name] = {"rows": stat.n, "checksum": str(stat.h), "schema": t.schema, "kind": t.kind, "pk": t.pk, "sequence": t.sequence, "unique": t.unique, "not_null": t.not_null, "defaults": t.defaults, "foreign_keys": t.foreign_keys, "indexes": t.indexes}
+        manifest["tables"][name] = {"rows": stat.n, "checksum": str(stat.h), "schema": t.schema, "kind": t.kind, "pk": t.pk, "sequence": t.sequence, "unique": t.unique, "not_null": t.not_null, "defaults": t.defaults, "foreign_keys": t.foreign_keys, "indexes": t.indexes, "keys": t.keys}
     catalog.files.write(f"{path}/manifest.json", json.dumps(manifest))
     return manifest
 
