@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import documents, joins
 from ..sources import indexes, transfer
+from ..sources.catalog import CatalogError
 from ..sources.workspace import scratch
 from ..streaming import windows
 from .engine import Engine
@@ -225,6 +226,147 @@ SCRIPTS: dict[str, tuple[Callable, str]] = {
 }
 
 
+ORDERS = "CREATE TABLE o (k INT PK, cust INT, status TEXT, price FLOAT); INSERT INTO o SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders"
+ORDERS_SQL = "SELECT CAST(o_orderkey AS BIGINT) AS k, CAST(o_custkey AS BIGINT) AS cust, o_orderstatus AS status, CAST(o_totalprice AS DOUBLE) AS price FROM orders"
+
+
+def _on_orders(text: str, last: str = "SELECT * FROM o", setup: str = ORDERS):
+    """Statements over a catalog table as large as orders, then a query."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = engine(spark, sf_dir)
+        e.script(setup)
+        e.script(text)
+        return e.sql(last)
+
+    return run
+
+
+LOGS = "; ".join(f"RAKHO logs {d}" for d in ('{"level": "info", "ts": 1}', '{"level": "error", "ts": 2, "tags": ["a"]}', '{"level": "info", "ts": 5}', '{"ts": "late"}'))
+LOG_COLUMNS = "SELECT `_id` AS own, get_json_object(doc, '$.level') AS level, get_json_object(doc, '$.ts') AS ts FROM "
+
+
+def _logs(act: Callable[[Engine], DataFrame]):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = engine(spark, sf_dir)
+        e.script(LOGS)
+        return act(e)
+
+    return run
+
+
+def _log_rows(df: DataFrame) -> DataFrame:
+    return df.select(F.col("_id").alias("own"), F.get_json_object("doc", "$.level").alias("level"), F.get_json_object("doc", "$.ts").alias("ts"))
+
+
+def _log_values(rows: list[tuple]) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in r) + ")" for r in rows) + ") v(own, level, ts)"
+
+
+def _after(change: Callable[[Engine], object]):
+    def act(e: Engine) -> DataFrame:
+        change(e)
+        return e.sql(LOG_COLUMNS + "logs")
+
+    return act
+
+
+def _other_database(form: str):
+    """BACKUP of a database that is not the current one, RESTOREd beside it."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e, path = engine(spark, sf_dir), scratch(spark, "backup")
+        e.script("CREATE DATABASE oth; CREATE TABLE s (k INT PK, v TEXT); INSERT INTO s VALUES (111, 'here'); USE oth; CREATE TABLE s (k INT PK, v TEXT); INSERT INTO s SELECT n_nationkey, n_name FROM nation; USE public")
+        e.sql(f"BACKUP DATABASE oth TO '{path}' FORMAT {form}")
+        e.sql(f"RESTORE DATABASE again FROM '{path}'")
+        return e.sql("SELECT * FROM s")
+
+    return run
+
+
+def _quoted(compressed: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e, path = engine(spark, sf_dir), scratch(spark, "export")
+        e.script("CREATE TABLE d (k INT PK, v TEXT); INSERT INTO d SELECT doc_id, text FROM documents; INSERT INTO d VALUES (-1, 'a,\"b\"'), (-2, NULL), (-3, 'x\\ny')")
+        e.sql(f"EXPORT TABLE d TO '{path}' FORMAT CSV {compressed}")
+        e.script(f"DELETE FROM d; IMPORT TABLE d FROM '{path}' FORMAT CSV")
+        return e.sql("SELECT * FROM d")
+
+    return run
+
+
+def _two_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sessions on one catalog take turns: neither loses the other's tables."""
+    root = scratch(spark)
+    a, b = Engine(spark, root), Engine(spark, root)
+    a.script("CREATE TABLE x (id INT PK); INSERT INTO x VALUES (1)")
+    b.script("CREATE TABLE y (id INT PK); INSERT INTO y VALUES (2); INSERT INTO x VALUES (3)")
+    a.script("INSERT INTO x VALUES (4); CREATE TABLE z (id INT PK)")
+    return Engine(spark, root).sql("SELECT id FROM x UNION ALL SELECT id FROM y UNION ALL SELECT id FROM z")
+
+
+def _index_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir)
+    e.script("CREATE TABLE p (k INT PK, size INT, brand TEXT); INSERT INTO p SELECT p_partkey, p_size, p_name FROM part; CREATE INDEX ON p (size, brand)")
+    return indexes.scan_range(e.catalog.frame("p"), "size", 15, 15, ordered=False).select("k")
+
+
+def _refused(*statements: str):
+    """Statements against a NOT NULL column: how many are refused, and the rows as they were."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e, refused = engine(spark, sf_dir), 0
+        e.sql("CREATE TABLE t (id INT PK, name TEXT NOT NULL, age INT, grade TEXT)")
+        e.sql("INSERT INTO t VALUES " + ", ".join(f"({i}, '{n}', {a}, '{g}')" for i, n, a, g in STUDENTS))
+        for text in statements:
+            try:
+                e.sql(text)
+            except CatalogError:
+                refused += 1
+        return e.sql("SELECT * FROM t").withColumn("refused", F.lit(refused).cast("long"))
+
+    return run
+
+
+GRANDCHILDREN = "CREATE TABLE c (id INT PK, t_id INT); INSERT INTO c VALUES (1, 1), (2, 2), (3, 1); CREATE TABLE d (id INT PK, c_id INT); INSERT INTO d VALUES (10, 1), (20, 2), (30, 3); ALTER TABLE c ADD CONSTRAINT fk FOREIGN KEY (t_id) REFERENCES t(id) ON DELETE CASCADE ON UPDATE CASCADE; ALTER TABLE d ADD CONSTRAINT fd FOREIGN KEY (c_id) REFERENCES c(id) ON DELETE CASCADE; "
+
+# statements that change tables of a size, constraints, and the rest of the document and file statements
+CHANGES: dict[str, tuple[Callable, str]] = {
+    "dml_orders_insert": (_on_orders("INSERT INTO o SELECT o_orderkey, o_custkey, 'again', 0 FROM orders"), ORDERS_SQL),
+    "dml_orders_update": (_on_orders("BADLO o RAKHO_YEH price = price * 2, status = 'X' JAHAN cust < 100 AUR status = 'F'"), f"SELECT k, cust, CASE WHEN cust < 100 AND status = 'F' THEN 'X' ELSE status END AS status, CASE WHEN cust < 100 AND status = 'F' THEN price * 2 ELSE price END AS price FROM ({ORDERS_SQL})"),
+    "dml_orders_delete": (_on_orders("NIKALO SE o JAHAN price > 1000"), f"SELECT * FROM ({ORDERS_SQL}) WHERE NOT price > 1000"),
+    "dml_delete_in": (_on_orders("DELETE FROM o WHERE cust IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)"), f"SELECT * FROM ({ORDERS_SQL}) WHERE cust NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)"),
+    "dml_delete_exists": (_on_orders("DELETE FROM o WHERE EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = cust AND c.c_nationkey = 3)"), f"SELECT * FROM ({ORDERS_SQL}) WHERE cust NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)"),
+    "dml_delete_not_in_empty": (_on_orders("DELETE FROM o WHERE cust NOT IN (SELECT c_custkey FROM customer WHERE c_custkey < 0)", "SELECT COUNT(*) AS n FROM o"), "SELECT CAST(0 AS BIGINT) AS n"),
+    "dml_update_in": (_on_orders("UPDATE o SET price = -1.0 WHERE k NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)"), f"SELECT k, cust, status, CASE WHEN k NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) THEN -1.0 ELSE price END AS price FROM ({ORDERS_SQL})"),
+    "composite_key": (_script("CREATE TABLE k (a INT, b INT, PRIMARY KEY (a, b)); INSERT INTO k VALUES (1, 1), (1, 2), (1, 3), (1, 2)", "SELECT a, b FROM k"), _values([(1, 1), (1, 2), (1, 3)], "a, b")),
+    "composite_key_select": (_on_orders("CREATE TABLE l (o INT, n INT, q FLOAT, PRIMARY KEY (o, n)); INSERT INTO l SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem; INSERT INTO l SELECT l_orderkey, l_linenumber, 0 FROM lineitem", "SELECT o, COUNT(*) AS c FROM l GROUP BY o", "SELECT 1"), "SELECT CAST(l_orderkey AS BIGINT) AS o, COUNT(DISTINCT l_linenumber) AS c FROM lineitem GROUP BY l_orderkey"),
+    "unique_index": (_script("CREATE UNIQUE INDEX ON t (name); INSERT INTO t VALUES (8, 'Amit', 1, 'Z'), (9, 'New', 1, 'Z'); INSERT INTO t SELECT id + 100, name, age, grade FROM t WHERE id < 3", "SELECT id, name FROM t"), _values([*(r[:2] for r in STUDENTS), (9, "New")], "id, name")),
+    "not_null_kept": (_refused("UPDATE t SET name = NULL WHERE id = 1", "INSERT INTO t SELECT 70, NULL, 1, 'A'", "INSERT INTO t VALUES (71, NULL, 1, 'A')"), _values([(*r, 3) for r in STUDENTS], "id, name, age, grade, refused")),
+    "foreign_key_nested": (_script(GRANDCHILDREN + "DELETE FROM t WHERE id = 1", "SELECT c.id AS c, d.id AS d FROM c FULL JOIN d ON d.c_id = c.id"), _values([(2, 20)], "c, d")),
+    "foreign_key_update": (_script(GRANDCHILDREN + "UPDATE t SET id = 50 WHERE id = 1", "SELECT c.id, c.t_id, t.name FROM c JOIN t ON t.id = c.t_id"), _values([(1, 50, "Rahul"), (2, 2, "Priya"), (3, 50, "Rahul")], "id, t_id, name")),
+    "drop_constraint": (_script(GRANDCHILDREN + "ALTER TABLE c DROP CONSTRAINT fk; DELETE FROM t WHERE id = 1", "SELECT id, t_id FROM c"), _values([(1, 1), (2, 2), (3, 1)], "id, t_id")),
+    "lenient_by_table": (_script("CREATE TABLE m (k TEXT PK); INSERT INTO m VALUES ('abc'), ('7'); CREATE TABLE n (k INT PK); INSERT INTO n VALUES (0), (7)", "SELECT m.k AS a, n.k AS b FROM m CROSS JOIN n WHERE m.k = 'abc' AND n.k = '7x'"), "SELECT 'abc' AS a, CAST(7 AS BIGINT) AS b"),
+    "show_tables": (_script("CREATE TABLE u (id INT); DROP TABLE u", "SHOW TABLES", "CREATE TABLE t (id INT PK, name TEXT, age INT, grade TEXT)"), "SELECT * FROM (VALUES " + ", ".join(f"('{n}')" for n in [*TABLES, "t"]) + ") v(name)"),
+    "show_databases": (_script("CREATE DATABASE one; CREATE DATABASE two; DROP DATABASE two", "SHOW DATABASES"), "SELECT * FROM (VALUES ('one'), ('public')) v(name)"),
+    "describe_table": (_script("", "DESCRIBE t"), "SELECT * FROM (VALUES ('id', 'bigint', TRUE), ('name', 'string', FALSE), ('age', 'bigint', FALSE), ('grade', 'string', FALSE)) v(\"column\", type, pk)"),
+    "explain_statement": (lambda spark, sf_dir: engine(spark, sf_dir).sql("SAMJHAO SELECT * FROM orders WHERE o_custkey = 5").select(F.contains("plan", F.lit("o_custkey")).alias("planned")), "SELECT TRUE AS planned"),
+    "two_sessions": (_two_sessions, "SELECT * FROM (VALUES (CAST(1 AS BIGINT)), (3), (4), (2)) v(id)"),
+    "doc_khojo": (_logs(lambda e: _log_rows(e.sql('KHOJO logs {"level": "info", "ts": {"$gt": 1}}'))), _log_values([("3", "info", "5")])),
+    "doc_find_ne": (_logs(lambda e: _log_rows(e.sql('FIND logs {"level": {"$ne": "info"}}'))), _log_values([("2", "error", "2"), ("4", None, "late")])),
+    "doc_mangwao": (_logs(lambda e: _log_rows(e.sql("MANGWAO logs 2").unionByName(e.sql("DHUNDO logs JAHAN level = 'info'")))), _log_values([("2", "error", "2"), ("1", "info", "1"), ("3", "info", "5")])),
+    "doc_get_all": (_logs(lambda e: _log_rows(e.sql("MANGWAO logs"))), _log_values([("1", "info", "1"), ("2", "error", "2"), ("3", "info", "5"), ("4", None, "late")])),
+    "doc_update_many": (_logs(_after(lambda e: e.collections.update("logs", {"level": "info"}, {"$set": {"level": "seen"}, "$inc": {"ts": 10}}))), _log_values([("1", "seen", "11"), ("2", "error", "2"), ("3", "seen", "15"), ("4", None, "late")])),
+    "doc_update_one": (_logs(_after(lambda e: e.collections.update("logs", {"level": "info"}, {"$unset": {"level": ""}}, one=True))), _log_values([("1", None, "1"), ("2", "error", "2"), ("3", "info", "5"), ("4", None, "late")])),
+    "doc_delete_many": (_logs(_after(lambda e: e.collections.delete("logs", {"level": {"$ne": "info"}}))), _log_values([("1", "info", "1"), ("3", "info", "5")])),
+    "doc_delete_one": (_logs(_after(lambda e: e.collections.delete("logs", {"level": "info"}, one=True))), _log_values([("2", "error", "2"), ("3", "info", "5"), ("4", None, "late")])),
+    "doc_out": (_logs(lambda e: (e.sql('IKATHA logs [{"$match": {"level": "info"}}, {"$group": {"_id": "$level", "n": {"$sum": 1}}}, {"$out": "found"}]'), e.sql("SELECT get_json_object(doc, '$.n') AS n FROM found"))[1]), "SELECT '2' AS n"),
+}
+CHANGES |= {f"backup_other_{f.lower()}": (_other_database(f), "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS v FROM nation") for f in ("BINARY", "CSV", "JSON", "SQL")}
+QUOTED_SQL = "SELECT CAST(doc_id AS BIGINT) AS k, text AS v FROM documents UNION ALL SELECT -1, 'a,\"b\"' UNION ALL SELECT -2, NULL UNION ALL SELECT -3, 'x' || chr(10) || 'y'"
+CHANGES |= {"export_quotes": (_quoted(""), QUOTED_SQL), "export_gzip": (_quoted("COMPRESSED"), QUOTED_SQL), "index_equality": (_index_equal, "SELECT p_partkey AS k FROM part WHERE p_size = 15")}
+
+
 def _round_trip(form: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         e, path = engine(spark, sf_dir), scratch(spark, "export")
@@ -289,7 +431,7 @@ FILES: dict[str, tuple[Callable, str]] = {
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: statement(text) for k, (text, _) in STATEMENTS.items()}
     found |= {f"join_{a}_hint": _hinted(b) for a, b in (("hash", "hash"), ("merge", "merge"), ("nl", "nested_loop"))}
-    for group in (DOCUMENTS, SCRIPTS, FILES):
+    for group in (DOCUMENTS, SCRIPTS, CHANGES, FILES):
         found |= {k: f for k, (f, _) in group.items()}
     return found
 
@@ -297,6 +439,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     found = {k: oracle or text for k, (text, oracle) in STATEMENTS.items()}
     found |= {f"join_{a}_hint": HINTED for a in ("hash", "merge", "nl")}
-    for group in (DOCUMENTS, SCRIPTS, FILES):
+    for group in (DOCUMENTS, SCRIPTS, CHANGES, FILES):
         found |= {k: sql for k, (_, sql) in group.items() if sql}
     return found

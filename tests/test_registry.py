@@ -46,3 +46,16 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "PushedFilters: [IsNotNull(c_custkey), EqualTo(c_custkey,77)]" in text
     text = registry.queries()["agg_group"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_orderstatus:string,o_totalprice:double>" in text
+
+
+@pytest.mark.parametrize(("name", "pushed"), [("doc_match", "EqualTo(event_type,click)"), ("doc_nin", "Not(EqualTo(role,user))"), ("doc_find_ops", "EqualTo(event_type,click)")])
+def test_document_filters_reach_the_scan(spark, name, pushed):
+    text = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    filters = next(x for x in text.split("PushedFilters: ")[1:])
+    assert pushed in filters or (name == "doc_find_ops" and "In(event_type, [click,view])" in filters), filters
+
+
+def test_tables_are_opened_when_named(spark):
+    e = registry.engine(spark, SF)
+    e.sql("SELECT * FROM nation")
+    assert [n for n, held in e.catalog.attached.items() if not callable(held)] == ["nation"]
