@@ -374,3 +374,26 @@ def test_budget_is_met_at_the_margins(spark):
         unmet["all"] += r.n_tokens * r.probability
         unmet[r.cell_lang] += r.n_tokens * r.probability
     assert unmet["all"] < 300 and unmet["de"] / unmet["all"] == pytest.approx(0.4, abs=0.001)
+
+
+def test_factors_as_tables_equal_factors_in_the_plan(spark, monkeypatch):
+    """The plan for many values gives the rates of the plan for few, and an independent raking by numpy."""
+    import numpy as np
+
+    sources, langs = ["a"] * 6 + ["b"] * 3 + ["c"], ["en", "de"] * 5
+    docs = table(spark, ["one two three"] * 10, langs, sources)
+    targets = {"source": {"a": 0.4}, "lang": {"en": 0.6}}
+    rates = []
+    for small in (2_000, 1):
+        monkeypatch.setattr(mixing, "SMALL", small)
+        rates.append({(r.cell_source, r.cell_lang): r.probability for r in mixing.mix(docs, targets, budget=9.0).collect()})
+    assert rates[0] == pytest.approx(rates[1], abs=1e-6)
+    cells = Counter(zip(sources, langs, strict=True))
+    w = np.array([[3.0 * cells[s, x] for x in ("en", "de")] for s in ("a", "b", "c")])
+    tokens = w.copy()
+    for _ in range(200):
+        w *= (np.array([0.4, 0.45, 0.15]) * 30 / w.sum(axis=1))[:, None]
+        w *= np.array([0.6, 0.4]) * 30 / w.sum(axis=0)
+    for (s, x), p in rates[0].items():
+        i, j = "abc".index(s), ("en", "de").index(x)
+        assert p == pytest.approx(w[i, j] / tokens[i, j] * 9 / 30, abs=1e-4)
