@@ -47,6 +47,7 @@ DIMENSIONS = 32
 SKETCH_BITS = 23
 SLICES = 16
 LEAF = 16
+HOT_PARTS = 1000
 #: The bits of a key that hold its band; no percent has more bands.
 SPACE = np.uint64(0xFFFF)
 
@@ -299,11 +300,10 @@ def class_links(docs: DataFrame, k: int, bands: Bands, counts: np.ndarray, class
     # components of each band by itself: a set is in two bands at most, and sets
     # too unlike in size for a link don't gather in one component
     possible = connected(pairs).checkpoint()
-    load = possible.join(classes.select(F.col("class_id").alias("node"), "n"), "node").groupBy("space", "component").agg(F.sum("n").alias("load"), F.min("n").alias("least"))
+    load = possible.join(classes.select(F.col("class_id").alias("node"), "n"), "node").groupBy("space", "component").agg(F.sum("n").alias("load"), F.min("n").alias("least"), F.count("*").alias("members")).checkpoint()
     # without a set of the lower band, the component is compared in its own band
     upper = F.element_at(F.array(*[F.lit(x) for x in bands.edges]), F.col("space").cast("int") + 2)
-    load = load.where(F.col("least") < upper).drop("least")
-    dealt = possible.join(load, ["space", "component"]).withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.col("load") * 2 / group_shingles)).cast("int"))
+    dealt = with_load(possible, load).where(F.col("least") < upper).drop("least").withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.col("load") * 2 / group_shingles)).cast("int"))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     # a chunk meets itself once and every other chunk once
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -326,6 +326,16 @@ def class_links(docs: DataFrame, k: int, bands: Bands, counts: np.ndarray, class
     return texts.groupBy("space", "component", "a", "b").applyInArrow(verify, "u long, v long")
 
 
+def with_load(possible: DataFrame, load: DataFrame) -> DataFrame:
+    """possible with the load of its components.  Those that hold a `HOT_PARTS`-th
+    of all rows or more are `HOT_PARTS` at most, whatever the input: they are
+    broadcast, so that the shuffle deals no component with a larger part."""
+    key = ["space", "component"]
+    is_hot = F.col("members") * HOT_PARTS >= possible.count()
+    hot, rest = load.where(is_hot).drop("members"), load.where(~is_hot).drop("members")
+    return possible.join(F.broadcast(hot), key).union(possible.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
+
+
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component (the least doc_id); columns as they came.
     Documents without doc_id stay."""
