@@ -11,7 +11,10 @@ shared by many documents seldom stand in a prefix.  Each document sends its
 prefix to the shards of its shingles, once for its size band and once for the
 band below (linked sets are in one or in neighbouring bands), and a shard links
 the documents of one shingle and band to the least of them.  No link is lost,
-and a key costs a shard one entry a batch at most.
+and a key costs a shard one entry a batch at most.  Each key comes with the one
+before it in its document's prefix: documents that share both are linked by the
+earlier one, in whatever shard that is, so that alike documents make a link where
+their prefixes begin to agree and not at every key that they share.
 
 Verification: the candidate components of each band are joined within.  Each set becomes
 its vector of shingle counts in `DIMENSIONS` hash groups; an R-tree over these
@@ -91,14 +94,16 @@ class Bands:
         """Whether sets of sizes a and b that share `overlap` shingles link."""
         return 100 * overlap >= self.percent * (a + b - overlap)
 
-    def prefix(self, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Keys of the rarest shingles, for the set's band and the one below."""
+    def prefix(self, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the rarest shingles, for the set's band and the one below, and
+        the key before each of them in its band (0 before the first)."""
         n = len(tokens)
         if not n:
-            return np.zeros(0, np.uint64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         own, length = self.of(n), n - math.ceil(self.t * n) + 1
         rare = tokens[np.lexsort((tokens, counts[sketch_place(tokens)]))[:length]]
-        return np.concatenate([c.mix(rare + np.uint64(band * 0x1000003 + 1)) & ~SPACE | np.uint64(band) for band in {own, max(own - 1, 0)}])
+        keys = [np.sort(c.mix(rare + np.uint64(band * 0x1000003 + 1)) & ~SPACE | np.uint64(band)) for band in {own, max(own - 1, 0)}]
+        return np.concatenate(keys), np.concatenate([np.append(np.zeros(1, np.uint64), x[:-1]) for x in keys])
 
 
 def sketch_place(tokens: np.ndarray) -> np.ndarray:
@@ -152,31 +157,32 @@ def candidate_pairs(docs: DataFrame, k: int, bands: Bands, shards: int, counts:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            keys, docs = [], []
+            keys, before, docs = [], [], []
             for doc, tokens in zip(ids, shingle_sets(c.as_text(batch.column(1)), k), strict=True):
-                own = bands.prefix(tokens, counts.value)
+                own, previous = bands.prefix(tokens, counts.value)
                 keys.append(own)
+                before.append(previous)
                 docs.append(np.full(len(own), doc))
             if not keys:
                 continue
-            space, u, v, keys, docs = stars(np.concatenate(keys), np.concatenate(docs))
+            space, u, v, keys, before, docs = stars(np.concatenate(keys), np.concatenate(before), np.concatenate(docs))
             shard = ((keys >> np.uint64(16)) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
-            shard, keys, docs = shard[order], keys[order], docs[order]
+            shard, keys, before, docs = shard[order], keys[order], before[order], docs[order]
             cut = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]]).astype(int) if len(shard) else np.zeros(0, int)
-            rows = [(int(shard[s]), keys[s:e].tobytes(), docs[s:e].tobytes(), b"") for s, e in zip(cut[:-1], cut[1:], strict=True)]
-            rows.append((-1, u.tobytes(), v.tobytes(), space.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["shard", "keys", "docs", "spaces"])
+            rows = [(int(shard[s]), keys[s:e].tobytes(), before[s:e].tobytes(), docs[s:e].tobytes(), b"") for s, e in zip(cut[:-1], cut[1:], strict=True)]
+            rows.append((-1, u.tobytes(), b"", v.tobytes(), space.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), *[pa.binary()] * 4))], names=["shard", "keys", "before", "docs", "spaces"])
 
     def meet(table: pa.Table) -> pa.Table:
-        keys, docs, space = (np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]) for name, kind in (("keys", np.uint64), ("docs", np.int64), ("spaces", np.int64)))
+        keys, before, docs, space = (np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]) for name, kind in (("keys", np.uint64), ("before", np.uint64), ("docs", np.int64), ("spaces", np.int64)))
         if table.column("shard")[0].as_py() < 0:
             u, v = keys.view(np.int64), docs
         else:
-            space, u, v, _, _ = stars(keys, docs)
+            space, u, v, *_ = stars(keys, before, docs)
         return pa.Table.from_arrays([pa.array(x) for x in distinct(space, u, v)], names=["space", "u", "v"])
 
-    sent = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(send, "shard long, keys binary, docs binary, spaces binary")
+    sent = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(send, "shard long, keys binary, before binary, docs binary, spaces binary")
     # a batch's own stars (shard < 0) need no meeting: spread them evenly
     sent = sent.withColumn("shard", F.when(F.col("shard") < 0, -1 - F.pmod(F.xxhash64("keys"), F.lit(shards))).otherwise(F.col("shard")))
     return sent.groupBy("shard").applyInArrow(meet, "space long, u long, v long")
@@ -191,17 +197,32 @@ def distinct(space: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarra
     return space[new], u[new], v[new]
 
 
-def stars(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct (band, document, least document of a key it has), and (key, least document)."""
+def stars(keys: np.ndarray, before: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (band, document, least document of a key it has), and (key, key
+    before it, least document).  Documents that have the same key before are
+    linked by that one already, so that only the least of them stands for them here."""
     order = np.argsort(keys, kind="stable")
-    keys, docs = keys[order], docs[order]
+    keys, before, docs = keys[order], before[order], docs[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    shared = ~new
+    shared[:-1] |= ~new[1:]
+    alone = [x[~shared] for x in (keys, before, docs)]
+    keys, before, docs = keys[shared], before[shared], docs[shared]
+    order = np.lexsort((docs, before, keys))
+    keys, before, docs = keys[order], before[order], docs[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (before[1:] != before[:-1]) | (before[1:] == 0)
+    keys, before, docs = keys[new], before[new], docs[new]
+    order = np.lexsort((docs, keys))
+    keys, before, docs = keys[order], before[order], docs[order]
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
     head = np.flatnonzero(new)
-    least = np.minimum.reduceat(docs, head) if len(head) else docs
-    star = np.repeat(least, np.diff(np.append(head, len(keys))))
+    star = np.repeat(docs[head], np.diff(np.append(head, len(keys))))
     other = docs != star
-    return *distinct((keys[other] & SPACE).astype(np.int64), docs[other], star[other]), keys[head], least
+    heads = (np.concatenate([a, x[head]]) for a, x in zip(alone, (keys, before, docs), strict=True))
+    return *distinct((keys[other] & SPACE).astype(np.int64), docs[other], star[other]), *heads
 
 
 class CountTree:
