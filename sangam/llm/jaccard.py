@@ -5,9 +5,13 @@ with equal sets form a class, and only classes are compared.
 
 Candidates: sets of similarity t share a part t of the larger one, so that with
 any order of all shingles the first common one stands in both sets' prefixes of
-n - ceil(t * n) + 1 shingles.  The order is rare shingles first, by a count sketch
-of fixed size (2**SKETCH_BITS counters over all documents), so that passages
-shared by many documents seldom stand in a prefix.  Each document sends its
+n - ceil(t * n) + 1 shingles.  The order is rare shingles first.  A count sketch of
+fixed size (2**SKETCH_BITS counters over all documents) tells which shingles may be
+rare; over large inputs many shingles share a counter, so that those with a low
+one, somewhat more than the prefixes need, are counted one by one, and each of
+2**EXACT_BITS places keeps the most of its shingles.  Passages shared by many
+documents then seldom stand in a prefix.  Both tables only make the order, which
+is the same for all documents: no link hangs on them.  Each document sends its
 prefix to the shards of its shingles, once for its size band and once for the
 band below (linked sets are in one or in neighbouring bands), and a shard links
 the documents of one shingle and band to the least of them.  No link is lost,
@@ -48,6 +52,8 @@ from .components import connected
 
 DIMENSIONS = 32
 SKETCH_BITS = 23
+EXACT_BITS = 24
+BATCH_COUNT = 8
 SLICES = 16
 LEAF = 16
 HOT_PARTS = 1000
@@ -94,34 +100,74 @@ class Bands:
         """Whether sets of sizes a and b that share `overlap` shingles link."""
         return 100 * overlap >= self.percent * (a + b - overlap)
 
-    def prefix(self, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def prefix(self, tokens: np.ndarray, order: Order) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the rarest shingles, for the set's band and the one below, and
         the key before each of them in its band (0 before the first)."""
         n = len(tokens)
         if not n:
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         own, length = self.of(n), n - math.ceil(self.t * n) + 1
-        rare = tokens[np.lexsort((tokens, counts[sketch_place(tokens)]))[:length]]
+        rare = tokens[np.lexsort((tokens, order.of(tokens)))[:length]]
         keys = [np.sort(c.mix(rare + np.uint64(band * 0x1000003 + 1)) & ~SPACE | np.uint64(band)) for band in {own, max(own - 1, 0)}]
         return np.concatenate(keys), np.concatenate([np.append(np.zeros(1, np.uint64), x[:-1]) for x in keys])
 
 
-def sketch_place(tokens: np.ndarray) -> np.ndarray:
-    return (c.mix(tokens * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def sketch_place(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return (c.mix(tokens * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def profile(docs: DataFrame, k: int) -> DataFrame:
+def exact_hash(tokens: np.ndarray) -> np.ndarray:
+    """Its first EXACT_BITS are the place among the exact counts."""
+    return c.mix(tokens * np.uint64(0x9FB21C651E98DF25) + np.uint64(1))
+
+
+class Order:
+    """One order of all shingles, rare ones first, from a count sketch and, once
+    they are known, exact counts of the shingles with a low counter."""
+
+    def __init__(self, counts: np.ndarray, part: float):
+        """part: of all occurrences, those that are counted exactly."""
+        self.bits = int(len(counts)).bit_length() - 1
+        # in pieces, as bincount copies to 64 bits
+        mass = sum(np.bincount(x, minlength=65_536) for x in np.array_split(counts, 64)) * np.arange(65_536, dtype=np.float64)
+        most = int(np.searchsorted(np.cumsum(mass), part * mass.sum()))
+        # levels of one byte that still tell twice that counter from others
+        shift = max(0, (2 * most).bit_length() - 8)
+        self.levels = np.minimum(counts >> shift, 255).astype(np.uint8)
+        #: Levels up to `sure` hold one occurrence; those up to `low` are counted.
+        self.sure, self.low = -1 if shift else 1, most >> shift
+        self.exact: np.ndarray | None = None
+
+    def level(self, tokens: np.ndarray) -> np.ndarray:
+        return self.levels[sketch_place(tokens, self.bits)]
+
+    def counted(self, tokens: np.ndarray) -> np.ndarray:
+        """The tokens of which an exact count is of use."""
+        level = self.level(tokens)
+        return tokens[(level > self.sure) & (level <= self.low)]
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        level = self.level(tokens).astype(np.int64)
+        if self.exact is None:
+            return level
+        exact = self.exact[(exact_hash(tokens) >> np.uint64(64 - EXACT_BITS)).astype(np.int64)].astype(np.int64)
+        exact[level <= self.sure] = 0
+        exact[level > self.low] = 256
+        return exact << 8 | level
+
+
+def profile(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> DataFrame:
     """doc_id, n (set size), h1, h2 (the set's identity); and rows with slice,
     counts: a part of the count sketch of each task."""
     names = ["doc_id", "n", "h1", "h2", "slice", "counts"]
     kinds = [pa.int64()] * 5 + [pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.uint16)
+        counts = np.zeros(1 << bits, np.uint16)
         for batch in batches:
             sets = []
             for x in shingle_sets(c.as_text(batch.column(1)), k):
-                place = sketch_place(x)
+                place = sketch_place(x, bits)
                 np.add.at(counts, place[counts[place] < 60_000], np.uint16(1))
                 sets.append((len(x), int(c.mix(x).sum(dtype=np.uint64)), int(c.mix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))))
             n, h1, h2 = (np.array(x, np.uint64).view(np.int64) for x in (zip(*sets, strict=True) if sets else ((), (), ())))
@@ -133,33 +179,84 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, slice long, counts binary")
 
 
-def count_sketch(profiles: DataFrame) -> np.ndarray:
-    """The tasks' sketches added up: 2**SKETCH_BITS bytes, whatever the input."""
+def count_sketch(profiles: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
+    """The tasks' sketches added up: 2**(bits + 1) bytes, whatever the input."""
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.zeros((1 << SKETCH_BITS) // SLICES, np.uint32)
+        total = np.zeros((1 << bits) // SLICES, np.uint32)
         for x in table.column("counts").to_pylist():
             total += np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8)
-        return pa.Table.from_arrays([table.column("slice")[:1].combine_chunks(), pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())], names=["slice", "counts"])
+        return sliced(table.column("slice")[:1].combine_chunks(), np.minimum(total, 65_535).astype(np.uint16))
+
+    parts = profiles.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(add, "slice long, counts binary")
+    return gathered_slices(parts, SLICES, (1 << bits) // SLICES, np.uint16)
+
+
+def sliced(number: pa.Array, counts: np.ndarray) -> pa.Table:
+    return pa.Table.from_arrays([number, pa.array([zstandard.ZstdCompressor(level=1).compress(counts.tobytes())], pa.binary())], names=["slice", "counts"])
+
 
-    parts = profiles.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(add, "slice long, counts binary").collect()
-    out = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint8)
-    for r in parts:
-        out[r.slice] = np.frombuffer(r.counts, np.uint8)
+def gathered_slices(parts: DataFrame, slices: int, length: int, kind: type) -> np.ndarray:
+    """One table of the slices; those that are missing are zero."""
+    out = np.zeros((slices, length), kind)
+    for r in parts.collect():
+        out[r.slice] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r.counts), kind)
     return out.ravel()
 
 
-def candidate_pairs(docs: DataFrame, k: int, bands: Bands, shards: int, counts: np.ndarray) -> DataFrame:
+def exact_counts(docs: DataFrame, k: int, order: Order, shards: int) -> np.ndarray:
+    """The most occurrences (0: one at most, 255: or more) of a shingle at each of
+    2**EXACT_BITS places, of those with a low counter.  A batch counts a shingle
+    BATCH_COUNT times at most, so that many copies make no long rows."""
+    bits = min(10, max(4, (shards // 4).bit_length()))
+    given = docs.sparkSession.sparkContext.broadcast(order)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [given.value.counted(x) for x in shingle_sets(c.as_text(batch.column(0)), k)]
+            if not sum(map(len, held)):
+                continue
+            value = np.sort(exact_hash(np.concatenate(held)))
+            keep = np.ones(len(value), bool)
+            keep[BATCH_COUNT:] = value[BATCH_COUNT:] != value[:-BATCH_COUNT]
+            value = value[keep]
+            cut = np.searchsorted(value >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            rest = (value >> np.uint64(32 - bits) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            some = np.flatnonzero(np.diff(cut))
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([rest[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())], names=["slice", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        value = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]))
+        head = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+        count = np.diff(np.append(head, len(value)))
+        head, count = head[count > 1], np.minimum(count[count > 1], 255).astype(np.uint8)
+        most = np.zeros(1 << EXACT_BITS - bits, np.uint8)
+        np.maximum.at(most, value[head] >> np.uint32(32 - EXACT_BITS + bits), count)
+        return sliced(table.column("slice")[:1].combine_chunks(), most)
+
+    parts = docs.where("doc_id is not null").select("text").mapInArrow(send, "slice long, counts binary").groupBy("slice").applyInArrow(add, "slice long, counts binary")
+    return gathered_slices(parts, 1 << bits, 1 << EXACT_BITS - bits, np.uint8)
+
+
+def shingle_order(docs: DataFrame, k: int, bands: Bands, shards: int, counts: np.ndarray) -> Order:
+    """By the sketch alone where its counters are exact for all that prefixes need."""
+    order = Order(counts, min(1.0, 1.4 * (100 - bands.percent) / 100 + 0.01))
+    if order.low > order.sure:
+        order.exact = exact_counts(docs, k, order, shards)
+    return order
+
+
+def candidate_pairs(docs: DataFrame, k: int, bands: Bands, shards: int, order: Order) -> DataFrame:
     """(space, u, v), v < u: documents that share a prefix shingle in a band, as
     stars round the least."""
-    counts = docs.sparkSession.sparkContext.broadcast(counts)
+    given = docs.sparkSession.sparkContext.broadcast(order)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             keys, before, docs = [], [], []
             for doc, tokens in zip(ids, shingle_sets(c.as_text(batch.column(1)), k), strict=True):
-                own, previous = bands.prefix(tokens, counts.value)
+                own, previous = bands.prefix(tokens, given.value)
                 keys.append(own)
                 before.append(previous)
                 docs.append(np.full(len(own), doc))
@@ -292,10 +389,10 @@ def overlaps(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat(hits.astype(np.int64), np.cumsum([0, *(len(x) for x in others[:-1])]))
 
 
-def join(docs: DataFrame, k: int = 5, percent: int = 80, group_shingles: int = 4_000_000, batch_bytes: int = 12 << 20) -> DataFrame:
+def join(docs: DataFrame, k: int = 5, percent: int = 80, group_shingles: int = 4_000_000, batch_bytes: int = 12 << 20, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id that links reach."""
     c.ready(docs.sparkSession)
-    gathered = profile(docs, k).checkpoint()
+    gathered = profile(docs, k, sketch_bits).checkpoint()
     profiles = gathered.where("slice is null").select("doc_id", "n", "h1", "h2")
     known = profiles.where("n > 0 and doc_id is not null")
     classes = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("n"), F.count("*").alias("copies")).checkpoint()
@@ -305,7 +402,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, group_shingles: int = 4
     several = member.join(own.where("class_id <> most").select("doc_id"), "doc_id", "left_semi")
     links = several.select(F.col("doc_id").alias("u"), F.col("class_id").alias("v"))
     if percent < 100:
-        links = links.union(class_links(docs, k, Bands(percent), count_sketch(gathered), classes, member.where("doc_id <> class_id").union(several).distinct(), group_shingles, c.spread(docs, "text", batch_bytes)).checkpoint())
+        links = links.union(class_links(docs, k, Bands(percent), count_sketch(gathered, sketch_bits), classes, member.where("doc_id <> class_id").union(several).distinct(), group_shingles, c.spread(docs, "text", batch_bytes)).checkpoint())
     groups = connected(links.select(F.lit(0).cast("long").alias("space"), "u", "v")).select(F.col("node").alias("class_id"), F.col("component").alias("linked"))
     found = own.join(groups, "class_id", "left").select("doc_id", F.coalesce("linked", "class_id").alias("component_id"))
     return profiles.join(found, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -315,7 +412,7 @@ def class_links(docs: DataFrame, k: int, bands: Bands, counts: np.ndarray, class
     """(u, v): links between classes, enough to join what is linked.  moved: the
     classes of the documents that are not just their own."""
     # a pair comes from every shard where it has a fingerprint: each once from here on
-    pairs = candidate_pairs(docs, k, bands, shards, counts).distinct().checkpoint()
+    pairs = candidate_pairs(docs, k, bands, shards, shingle_order(docs, k, bands, shards, counts)).distinct().checkpoint()
     raised = lambda e, end: e.join(moved.withColumnRenamed("doc_id", end), end, "left").withColumn(end, F.coalesce("class_id", end)).drop("class_id")
     pairs = raised(raised(pairs, "u"), "v").select("space", "u", "v")
     # components of each band by itself: a set is in two bands at most, and sets

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 from sangam.llm import jaccard, linededup, suffixdedup
@@ -139,3 +140,34 @@ def test_line_dedup_drops_what_is_empty(spark):
     assert Counter(r.text for r in kept.collect()) == Counter([text, "", None, "own line"])
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert linededup.dedup_lines(table(spark, [])).collect() == []
+
+
+def test_crowded_sketch_keeps_candidates_few(spark):
+    """Shingles of some documents each that share their counters with many rare ones."""
+    rng = random.Random(5)
+    common = [f"c{i} d{i} e{i}" for i in range(1500)]
+    texts = []
+    for i in range(600):
+        parts = [f"{i}a{j} {i}b{j} {i}c{j}" for j in range(25)] + rng.sample(common, 25)
+        rng.shuffle(parts)
+        texts.append(" ".join(parts))
+    texts += [f"{x} tail" for x in texts[:40]]
+    docs, bands = table(spark, texts), jaccard.Bands(90)
+    counts = jaccard.count_sketch(jaccard.profile(docs, 3, 9), 9)
+    assert counts.min() > 50
+    by_sketch, order = jaccard.Order(counts, 0.15), jaccard.shingle_order(docs, 3, bands, 8, counts)
+    assert order.exact is not None and order.exact.max() >= 8
+    loose, tight = (jaccard.candidate_pairs(docs, 3, bands, 8, x).select("u", "v").distinct().count() for x in (by_sketch, order))
+    assert 40 <= tight < 80 < 400 < loose
+    groups = {r.doc_id: r.component_id for r in jaccard.join(docs, 3, 90, sketch_bits=9).collect()}
+    assert groups == {i: i % 600 for i in range(640)}
+
+
+def test_jaccard_join_with_a_small_sketch_equals_brute_force(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    texts += [x + " z" for x in texts[:20]] + [None, "", texts[0]]
+    for k, percent in ((3, 90), (5, 80), (1, 60)):
+        want = brute_jaccard(texts, k, percent)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(table(spark, texts), k, percent, 200, 1 << 10, 4).collect()}
+        assert got == want, (k, percent)
