@@ -9,6 +9,9 @@ two different ranges of n bytes meet with a chance of n / 2**61.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
 import tempfile
 import uuid
@@ -61,11 +64,26 @@ def ready(spark: SparkSession) -> None:
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints"))
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files of finished steps go once the driver has collected the plans
+    that made them, which may be long after; this is that collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def trim() -> None:
+    """Gives a worker's freed memory back; workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the folder of the checkpoints, and read again."""
     ready(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

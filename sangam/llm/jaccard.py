@@ -52,7 +52,7 @@ from .components import connected
 
 DIMENSIONS = 32
 SKETCH_BITS = 23
-EXACT_BITS = 24
+EXACT_BITS = 23
 BATCH_COUNT = 8
 SLICES = 16
 LEAF = 16
@@ -224,6 +224,7 @@ def exact_counts(docs: DataFrame, k: int, order: Order, shards: int) -> np.ndarr
             rest = (value >> np.uint64(32 - bits) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             some = np.flatnonzero(np.diff(cut))
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([rest[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())], names=["slice", "counts"])
+        c.trim()
 
     def add(table: pa.Table) -> pa.Table:
         value = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]))
@@ -270,6 +271,7 @@ def candidate_pairs(docs: DataFrame, k: int, bands: Bands, shards: int, order: O
             rows = [(int(shard[s]), keys[s:e].tobytes(), before[s:e].tobytes(), docs[s:e].tobytes(), b"") for s, e in zip(cut[:-1], cut[1:], strict=True)]
             rows.append((-1, u.tobytes(), b"", v.tobytes(), space.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), *[pa.binary()] * 4))], names=["shard", "keys", "before", "docs", "spaces"])
+        c.trim()
 
     def meet(table: pa.Table) -> pa.Table:
         keys, before, docs, space = (np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]) for name, kind in (("keys", np.uint64), ("before", np.uint64), ("docs", np.int64), ("spaces", np.int64)))
@@ -403,6 +405,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, group_shingles: int = 4
     links = several.select(F.col("doc_id").alias("u"), F.col("class_id").alias("v"))
     if percent < 100:
         links = links.union(class_links(docs, k, Bands(percent), count_sketch(gathered, sketch_bits), classes, member.where("doc_id <> class_id").union(several).distinct(), group_shingles, c.spread(docs, "text", batch_bytes)).checkpoint())
+        c.release(docs.sparkSession)
     groups = connected(links.select(F.lit(0).cast("long").alias("space"), "u", "v")).select(F.col("node").alias("class_id"), F.col("component").alias("linked"))
     found = own.join(groups, "class_id", "left").select("doc_id", F.coalesce("linked", "class_id").alias("component_id"))
     return profiles.join(found, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -413,6 +416,7 @@ def class_links(docs: DataFrame, k: int, bands: Bands, counts: np.ndarray, class
     classes of the documents that are not just their own."""
     # a pair comes from every shard where it has a fingerprint: each once from here on
     pairs = candidate_pairs(docs, k, bands, shards, shingle_order(docs, k, bands, shards, counts)).distinct().checkpoint()
+    c.release(docs.sparkSession)  # the keys are by far the largest shuffle
     raised = lambda e, end: e.join(moved.withColumnRenamed("doc_id", end), end, "left").withColumn(end, F.coalesce("class_id", end)).drop("class_id")
     pairs = raised(raised(pairs, "u"), "v").select("space", "u", "v")
     # components of each band by itself: a set is in two bands at most, and sets
